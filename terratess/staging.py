@@ -54,3 +54,15 @@ def _release_all() -> None:
                 _delete(spark, path)
         except Exception:  # the JVM may be gone already
             return
+
+
+def put(spark: SparkSession, name: str, content: bytes) -> str:
+    """Writes a file of bounded size to the shared folder; returns its full path."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+    files = path.getFileSystem(context._jsc.hadoopConfiguration())
+    out = files.create(path, True)
+    for at in range(0, len(content), 1 << 22):
+        out.write(bytearray(content[at : at + (1 << 22)]))
+    out.close()
+    return files.makeQualified(path).toString()
