@@ -3,10 +3,45 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from terratess.llm import op03_mixing, op04_quality, op05_packing, op07_secrets, op08_minhash
+from terratess.shipping import ship
 from terratess.staging import stage
 
-STAGES: list = []
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier keeps."""
+    ship(spark)
+    return op04_quality.filter_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: its smallest id. Rows of one id are one document; of those, one stays."""
+    ship(spark)
+    found = op08_minhash.near_duplicates(docs)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
+    left = docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    return left
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts replaced."""
+    return op07_secrets.redact(docs, op07_secrets.train(op07_secrets.example_findings(spark)))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return op03_mixing.mix(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences."""
+    ship(spark)
+    return op05_packing.pack(docs)
+
+
+STAGES = [("quality classifier", quality), ("MinHash near-dedup", deduplicated), ("secret scans", without_secrets), ("mixing sources", mixed), ("packing", packed)]
 
 #: Fitted models, tokenisation and dynamic programming are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
