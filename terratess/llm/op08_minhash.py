@@ -9,8 +9,10 @@
    batch, and it is dropped once the posterior probability of a similarity of
    at least the threshold falls below ``miss``. Survivors are confirmed on whole sets.
 3. Members of one bucket that are still in different components are compared in
-   blocks, so that no link between components is missed; blocks bound the memory
-   of a task and only pairs that pass the Bayesian test leave it.
+   blocks, so that no link between components is missed: first by minima, which
+   marks the members of open pairs, then these on their whole sets. Blocks bound
+   the memory of a task, a pair is met in its first common band only, and what
+   leaves a block is at most one link for each of its members.
 
 With 32 bands of 4, a pair at exactly 0.75 shares no band with probability 5e-6,
 and eight batches at ``miss`` = 1e-6 add at most 8e-6.
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terratess.llm.components import components
+from terratess.operators.components import components
 from terratess.llm.textbytes import SPACED, hashed_words, mix
 from terratess.staging import release, stage
 
@@ -38,7 +40,8 @@ MINIMA = BANDS * ROWS
 BATCH = 16
 THRESHOLD_PERCENT = 75
 MISS = 1e-6
-BLOCK = 512
+#: Members, and shingles, of a block.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 19
 
 _U = np.uint64
 _MIX = mix(np.arange(1, WIDTH + 1, dtype=_U) * _U(0x2545F4914F6CDD1D)) | _U(1)
@@ -151,19 +154,22 @@ def _pruned(least):
     return run
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets share enough: 100 * intersection >= percent * union."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    both = int((y[at] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirmed(percent):
     def run(batches):
         for batch in batches:
-            a, b, keep = batch.column(2), batch.column(3), np.zeros(batch.num_rows, dtype=bool)
-            for row in range(batch.num_rows):
-                x, y = (np.frombuffer(c[row].as_buffer(), dtype=_U) for c in (a, b))
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    continue
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both = int((y[at] == x).sum())
-                keep[row] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+            pairs = zip(batch.column(2), batch.column(3))
+            keep = [similar(*(np.frombuffer(c.as_buffer(), dtype=_U) for c in pair), percent) for pair in pairs]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -196,32 +202,64 @@ def _sorted_groups(batches, keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _across(least):
-    """Of each block pair, the competitive pairs of members with different labels."""
+def _open_pairs(group: pa.Table, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of one block pair, the competitive pairs (places in it) with different labels that meet in no earlier band."""
+    i, j, band = (group.column(c)[0].as_py() for c in ("i", "j", "band"))
+    label, block = (np.asarray(group.column(c)) for c in ("label", "block"))
+    m = np.asarray(group.column("minima").combine_chunks().flatten()).reshape(len(label), MINIMA)
+    left = np.flatnonzero(block == i)
+    for x in left.tolist():
+        others = np.arange(x + 1, len(label)) if i == j else np.flatnonzero(block == j)
+        others = others[label[others] != label[x]]
+        if len(others):
+            others = others[competitive(np.broadcast_to(m[x], (len(others), MINIMA)), m[others], least)]
+        if len(others) and band:
+            early = (m[others, : band * ROWS] == m[x, : band * ROWS]).reshape(len(others), band, ROWS).all(axis=2).any(axis=1)
+            others = others[~early]
+        if len(others):
+            yield x, others
+
+
+def _busy(least):
+    """Of each block pair, the members of its open pairs."""
 
     def run(batches):
         for group in _sorted_groups(batches, 3):
-            group = group.combine_chunks()
-            i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-            node, label, block = (np.asarray(group.column(c)) for c in ("node", "label", "block"))
-            m = np.asarray(group.column("minima").combine_chunks().flatten()).reshape(len(node), MINIMA)
-            if i == j:
-                a, b = np.triu_indices(len(node), 1)
-            else:
-                a, b = (x.ravel() for x in np.meshgrid(np.flatnonzero(block == i), np.flatnonzero(block == j), indexing="ij"))
-            differ = label[a] != label[b]
-            a, b = a[differ], b[differ]
-            for at in range(0, len(a), 1 << 16):
-                p, q = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
-                left, right = np.arange(len(p)), np.zeros(len(p), dtype=np.int64)
-                for k, bound in enumerate(least):
-                    cut = slice(k * BATCH, (k + 1) * BATCH)
-                    right = right + (m[p[left], cut] == m[q[left], cut]).sum(axis=1)
-                    ok = right >= bound
-                    left, right = left[ok], right[ok]
-                if len(left):
-                    x, y = node[p[left]], node[q[left]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+            mark = np.zeros(len(group), dtype=bool)
+            for x, others in _open_pairs(group, least):
+                mark[x] = mark[others] = True
+            yield pa.RecordBatch.from_arrays([group.column("node").combine_chunks().filter(pa.array(mark))], ["node"])
+
+    return run
+
+
+def _across(least, percent):
+    """Of each block pair, links that join its members' labels; pairs that earlier links join are not compared."""
+
+    def run(batches):
+        for group in _sorted_groups(batches, 3):
+            node, label = (np.asarray(group.column(c)) for c in ("node", "label"))
+            sets = group.column("shingles").combine_chunks()
+            values = [np.frombuffer(x.as_buffer(), dtype=_U) for x in sets]
+            sizes = np.array([len(v) for v in values])
+            up = {x: x for x in label.tolist()}
+
+            def root(x):
+                while up[x] != x:
+                    up[x] = up[up[x]]
+                    x = up[x]
+                return x
+
+            out: list[tuple[int, int]] = []
+            for x, others in _open_pairs(group, least):
+                fits = 100 * np.minimum(sizes[others], sizes[x]) >= percent * np.maximum(sizes[others], sizes[x])
+                for y in others[fits].tolist():
+                    p, q = root(int(label[x])), root(int(label[y]))
+                    if p != q and similar(values[x], values[y], percent):
+                        up[max(p, q)] = min(p, q)
+                        out.append((int(node[x]), int(node[y])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
 
     return run
 
@@ -241,13 +279,13 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT, miss: flo
     full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = stage(full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("node")), "classes")
     chosen = full.join(classes.select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.col("node")), (F.col("doc_id") == F.col("node")) & (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")), "left_semi")
-    minimas = stage(chosen.select(F.col("doc_id").alias("node"), "d1", "d2", "minima").dropDuplicates(["node", "d1", "d2"]), "minima")
+    minimas = stage(chosen.select(F.col("doc_id").alias("node"), "d1", "d2", "n_shingles", "minima").dropDuplicates(["node", "d1", "d2"]), "minima")
 
     key = lambda b: F.xxhash64(b, *[F.get("minima", b * ROWS + k) for k in range(ROWS)])
-    members = minimas.select("node", "d1", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), key)).alias("bucket"))
+    members = minimas.select("node", "n_shingles", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), key)).alias("band", "bucket"))
     rank = F.struct(F.xxhash64("node", "bucket").alias("h"), F.col("node").alias("centre"))
-    centres = stage(members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(rank)["centre"].alias("centre")).where("n > 1"), "centres")
-    buckets = stage(members.select("node", "bucket").join(centres, "bucket").distinct(), "buckets")
+    centres = stage(members.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"), F.min(rank)["centre"].alias("centre")).where("n > 1"), "centres")
+    buckets = stage(members.select("node", "band", "bucket").join(centres, "bucket").distinct(), "buckets")
 
     minimas = minimas.select("node", "minima")
     m = lambda name: minimas.select(F.col("node").alias(name), F.col("minima").alias(f"m{name}"))
@@ -259,23 +297,24 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT, miss: flo
     links = stage(_links(pairs, sets, percent).distinct(), "confirmed")
     label = components(links)
 
-    named = buckets.select("bucket", "node", "n").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = stage(named, "named")
+    named = stage(buckets.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")).drop("centre"), "named")
     mixed = named.groupBy(F.col("bucket").alias("mixed")).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("mixed")
-    blocks = F.ceil(F.col("n") / block).cast("int")
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
     open_ = named.join(stage(mixed, "mixed"), F.col("bucket") == F.col("mixed"), "left_semi").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     met = open_.withColumn("k", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"i": F.least("block", "k"), "j": F.greatest("block", "k")})
-    met = met.join(minimas, "node").select("bucket", "i", "j", "block", "node", "label", "minima")
-    met = met.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    late = stage(met.mapInArrow(_across(least), "a long, b long").distinct(), "late")
-    more = stage(_links(late, sets, percent).distinct(), "later")
+    met = met.select("bucket", "i", "j", "band", "block", "node", "label")
+    keys = ["bucket", "i", "j"]
+    together = lambda x: x.select(*keys, *[c for c in x.columns if c not in keys]).repartition(*keys).sortWithinPartitions(*keys)
+    busy = stage(together(met.join(minimas, "node")).mapInArrow(_busy(least), "node long").distinct(), "busy")
+    whole = busy.join(minimas, "node").join(sets.withColumnRenamed("id", "node"), "node")
+    more = stage(together(met.join(whole, "node")).mapInArrow(_across(least, percent), "a long, b long").distinct(), "later")
     if more.isEmpty():
         final = label
     else:
         final = components(links.unionByName(more))
 
     homes = stage(classes.join(final, "node", "left").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.coalesce("label", "node").alias("home")), "homes")
-    release(minimas, centres, buckets, pairs, sets, named, late, more)
+    release(minimas, centres, buckets, pairs, sets, named, busy, more)
     slim = signed.select("doc_id", "n_shingles", "d1", "d2")
     some = slim.where("n_shingles > 0 and doc_id is not null").join(homes, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2"))).select("doc_id", "n_shingles", F.col("home").alias("component_id"))
     none = slim.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
