@@ -197,7 +197,7 @@ def simplify(points: DataFrame, tolerance: float) -> DataFrame:
 
 
 def offset_ring(xy: np.ndarray, distance: float) -> np.ndarray:
-    """A closed simple ring moved along its inner bisectors; negative shrinks. Corners are mitred, at most four times the distance."""
+    """A closed simple ring moved along its inner bisectors; negative shrinks. Corners are mitred; vertices nearer to the old outline than the distance are dropped."""
     p = xy[:-1] if (xy[0] == xy[-1]).all() else xy
     if len(p) < 3:
         return np.zeros((0, 2))
@@ -210,31 +210,22 @@ def offset_ring(xy: np.ndarray, distance: float) -> np.ndarray:
     before = np.roll(normal, 1, axis=0)
     mitre = (normal + before) / np.maximum(1 + (normal * before).sum(axis=1), 1 / 8)[:, None]
     moved = p + distance * mitre
-    r = np.roll(moved, -1, axis=0)
-    if np.sign((moved[:, 0] * r[:, 1] - r[:, 0] * moved[:, 1]).sum()) != np.sign(twice):
-        return np.zeros((0, 2))  # it shrank through itself
-    return np.vstack([moved, moved[:1]])
+    # what came closer to the old outline than the distance has passed through a neck
+    gap = []
+    for m in moved:
+        t = np.clip(((m - p) * (q - p)).sum(axis=1) / np.maximum(((q - p) ** 2).sum(axis=1), 1e-300), 0, 1)
+        gap.append(np.sqrt(((p + t[:, None] * (q - p) - m) ** 2).sum(axis=1).min()))
+    moved = moved[np.array(gap) >= abs(distance) * (1 - 1e-9)]
+    return np.vstack([moved, moved[:1]]) if len(moved) > 2 else np.zeros((0, 2))
 
 
 def buffer(points: DataFrame, distance: float) -> DataFrame:
-    """Offsets every ring. Narrow necks may cross themselves: vertices closer to the old outline than the distance are dropped."""
+    """Offsets every ring; rings that vanish give no rows."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("seq")
         xy = group[["x", "y"]].to_numpy()
         out = offset_ring(xy, distance)
-        if len(out):
-            a, b = xy[:-1], xy[1:]
-            d = b - a
-            keep = []
-            for p in out:
-                t = np.clip(((p - a) * d).sum(axis=1) / np.maximum((d * d).sum(axis=1), 1e-300), 0, 1)
-                keep.append(np.sqrt((((a + t[:, None] * d) - p) ** 2).sum(axis=1).min()) >= abs(distance) * (1 - 1e-9))
-            out = out[np.array(keep)]
-            if len(out) and not (out[0] == out[-1]).all():
-                out = np.vstack([out, out[:1]])
-        if len(out) < 4:
-            out = np.zeros((0, 2))
         fid, part = int(group["fid"].iloc[0]), int(group["part"].iloc[0])
         return pd.DataFrame({"fid": np.full(len(out), fid), "part": np.full(len(out), part, dtype=np.int32), "seq": np.arange(len(out), dtype=np.int32), "x": out[:, 0], "y": out[:, 1]})
 
