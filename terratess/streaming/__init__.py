@@ -1 +1 @@
-
+"""Nothing here: the engine's data are files and tables, and no operator works on a stream."""
