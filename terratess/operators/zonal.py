@@ -94,3 +94,22 @@ def layered(rasters: dict[str, DataFrame]) -> DataFrame:
 def substituted(v: Column, nodata: float = -9999.0) -> Column:
     """Null for the nodata value of files."""
     return F.nullif(v, F.lit(nodata))
+
+
+def zonal_window(triangles: DataFrame, cells: DataFrame, grid: Grid, name: str, column: str, method: Callable[[np.ndarray], float], tile: int = TILE) -> DataFrame:
+    """``method`` of each triangle's window: a 2-D array of its cells, rows by py, NaN where a cell is outside or nodata.
+
+    For callables that need the shape; those that don't belong in ``zonal``. A
+    triangle's window is built in one task, so its size bounds the memory. Null for
+    triangles without a valid cell, and for a NaN or nodata result.
+    """
+    hits = touched(triangles, cells.select("px", "py", F.col(column).cast("double").alias("v")), grid, tile).where("v is not null")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        px, py = group["px"].to_numpy(), group["py"].to_numpy()
+        window = np.full((py.max() - py.min() + 1, px.max() - px.min() + 1), np.nan)
+        window[py - py.min(), px - px.min()] = group["v"]
+        out = float(method(window))
+        return pd.DataFrame({"tri": [int(group["tri"].iloc[0])], name: [None if out != out or out == -9999 else out]}).astype({"tri": "int32", name: "float64"})
+
+    return triangles.select("tri").join(hits.groupBy("tri").applyInPandas(run, f"tri int, {name} double"), "tri", "left")

@@ -157,3 +157,63 @@ def test_whole_pipeline(spark, tmp_path):
 def test_report(spark, tmp_path):
     report.write_report(str(tmp_path / "r"), spark.createDataFrame([(0, 1.0, 2.0, 3.0, 4.0)], "tri int, error double, area double, min_angle double, max_angle double"))
     assert [tuple(r) for r in spark.read.csv(str(tmp_path / "r"), header=True).collect()] == [("1.0", "2.0", "3.0", "4.0")]
+
+
+@pytest.fixture(scope="module")
+def strip(spark, tmp_path_factory):
+    """A strip of triangles on disk, with its surface."""
+    at = tmp_path_factory.mktemp("strip")
+    vertex = spark.createDataFrame([(k, 10.0 * (k // 2), 10.0 * (k % 2), float(k)) for k in range(22)], "vid int, x double, y double, z double")
+    elem = spark.createDataFrame([(7 * k % 20, *([k, k + 2, k + 1] if k % 2 == 0 else [k, k + 1, k + 2])) for k in range(20)], "tri int, v0 int, v1 int, v2 int")
+    mesh_json.write_mesh(str(at / "s.mesh"), vertex, elem, topology.neighbours(elem), {"is_geographic": 0, "proj4": "local"})
+    geotiff.write_geotiff(str(at / "s.tif"), synthetic.flat(spark, 4, 40, 7.0), Grid(0.0, 2.5, 10.0, -2.5, 40, 4, "local"))
+    for name in ("a", "b"):
+        mesh_json.write_param(str(at / f"{name}.param"), elem.select("tri", F.col("v0").cast("double").alias("both"), F.lit(1.0 if name == "a" else 2.0).alias(name)))
+    return at
+
+
+@pytest.mark.parametrize("kind", ["rcm", "nd", "metis"])
+def test_permutations(spark, strip, kind):
+    from terratess.plans import tools
+
+    found = {r["when"]: r["bandwidth"] for r in tools.permute(spark, str(strip / "s.mesh"), str(strip / f"{kind}.mesh"), kind, 4).collect()}
+    if kind == "rcm":
+        assert found["after"] == 1 < found["before"]
+    old, new = (mesh_json.read_mesh(spark, str(strip / f"{n}.mesh")) for n in ("s", kind))
+    assert {r[1:] for r in values(old["elem"], "tri")} == {r[1:] for r in values(new["elem"], "tri")}
+    assert values(topology.neighbours(new["elem"]).select("tri", "n0", "n1", "n2"), "tri") == values(new["neigh"], "tri")
+    assert new["meta"].first()["version"] == tools.VERSIONS[kind]
+    if kind == "metis":
+        assert new["meta"].first()["local_size"] == [5, 5, 5, 5]
+
+
+def test_tools(spark, strip):
+    from terratess.plans import tools
+
+    r = tools.stats(spark, str(strip / "s.mesh"), str(strip / "s.tif"), str(strip / "report")).first()
+    assert (r["n_cells"], r["n_triangles"], r["percent"]) == (160, 20, 12.5)
+    assert spark.read.csv(str(strip / "report"), header=True).where("cast(error as double) = 0 and cast(area as double) = 50").count() == 20
+    out = tools.merge(spark, [str(strip / "a.param"), str(strip / "b.param")], str(strip / "m.param"))
+    merged = mesh_json.read_param(spark, out)
+    assert set(merged.columns) == {"tri", "both", "a", "b"} and merged.count() == 20
+    tools.to_vtu(spark, str(strip / "s.mesh"), out, str(strip / "s.vtu"))
+    tools.to_shapefile(spark, str(strip / "s.mesh"), str(strip / "shape"), out)
+    assert 'Name="both"' in (strip / "s.vtu").read_text()
+    assert shapefile.read_shapefile(spark, str(strip / "shape")).count() == 20
+    mesh_json.write_param(str(strip / "short.param"), merged.where("tri < 5").select("tri", "a"))
+    with pytest.raises(ValueError):
+        tools.merge(spark, [out, str(strip / "short.param")], str(strip / "n.param"))
+    assert tools.invalid_vertices(spark, str(strip / "s.mesh"), str(strip / "s.tif")).count() == 0
+
+
+def test_windows_have_shape(spark, strip):
+    from terratess.operators import spatial, zonal
+
+    m = mesh_json.read_mesh(spark, str(strip / "s.mesh"))
+    cells = synthetic.flat(spark, 4, 40).where("px <> 0")
+    grid = Grid(0.0, 2.5, 10.0, -2.5, 40, 4, "local")
+    t = spatial.corners(m["elem"], m["vertex"])
+    found = zonal.zonal_window(t, cells, grid, "rows", "v", lambda w: w.shape[0] * 100 + w.shape[1])
+    assert found.count() == 20 and {r["rows"] for r in found.collect()} <= {404.0, 403.0, 304.0, 303.0}
+    holes = zonal.zonal_window(t, cells, grid, "n", "v", lambda w: np.isnan(w).sum())
+    assert all(r["n"] > 0 for r in holes.collect())
