@@ -17,12 +17,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: its smallest id. Rows of one id are one document; of those, one stays."""
+    """One document of each near-duplicate group: its smallest id. Of rows of one id one stays; rows without an id all stay."""
     ship(spark)
     found = op08_minhash.near_duplicates(docs)
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    left = docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("gone_id"), "left_anti")
-    return left
+    left = docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["gone_id"], "left_anti")
+    twice = found.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("twice_id")).agg(F.count("*").alias("n")).where("n > 1").select("twice_id")
+    if twice.isEmpty():
+        return left
+    once = left.join(twice, left["doc_id"] == twice["twice_id"], "left_semi").dropDuplicates(["doc_id"])
+    return left.join(twice, left["doc_id"] == twice["twice_id"], "left_anti").unionByName(once)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

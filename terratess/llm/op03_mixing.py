@@ -52,26 +52,30 @@ def chance(doc_id, seed: str = SEED):
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def rates(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_REPEATS, seed: str = SEED) -> DataFrame:
+def rates(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_REPEATS, seed: str = SEED, prefix: str = "mix_") -> DataFrame:
     """``docs (doc_id, text, source, ...)`` with ``mix_size, mix_source_size, mix_target, mix_copies`` added.
 
     A null text has size 0; a null source is a source of its own. Repeated rows and
     rows of one doc_id draw alike, so reruns agree. Sources without words have
     target 0 and their documents no copies. Existing columns of the added names
-    are replaced; an empty table stays empty.
+    are replaced (another ``prefix`` keeps them); an empty table stays empty.
     """
-    sized = docs.withColumn("mix_size", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long"))
-    per = stage(targets(sized.groupBy("source").agg(F.sum("mix_size").alias("source_size")), weights, most), "sources")
-    per = per.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
+    size, source, total, target, copies = (f"{prefix}{c}" for c in ("size", "source", "source_size", "target", "copies"))
+    sized = docs.drop(source, total, target, copies).withColumn(size, F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long"))
+    per = stage(targets(sized.groupBy("source").agg(F.sum(size).alias("source_size")), weights, most), "sources")
+    per = per.select(F.col("source").alias(source), F.col("source_size").alias(total), F.col("target").alias(target))
     if per.count() <= BROADCAST_SOURCES:
         per = F.broadcast(per)
-    sized = sized.drop("mix_source", "mix_source_size", "mix_target", "mix_copies")
-    out = sized.join(per, F.col("source").eqNullSafe(F.col("mix_source"))).drop("mix_source")
-    rate = F.coalesce(F.try_divide("mix_target", "mix_source_size"), F.lit(0.0))
-    return out.withColumn("mix_copies", (F.floor(rate) + (chance("doc_id", seed) < rate - F.floor(rate)).cast("long")).cast("long"))
+    out = sized.join(per, F.col("source").eqNullSafe(F.col(source))).drop(source)
+    rate = F.coalesce(F.try_divide(target, total), F.lit(0.0))
+    return out.withColumn(copies, (F.floor(rate) + (chance("doc_id", seed) < rate - F.floor(rate)).cast("long")).cast("long"))
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_REPEATS, seed: str = SEED) -> DataFrame:
-    """The documents, each as often as its copies; the columns of ``docs``."""
-    rated = rates(docs, weights, most, seed)
-    return rated.where("mix_copies > 0").withColumn("mix_copies", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*docs.columns)
+    """The documents, each as often as its copies; the columns of ``docs``, whatever their names."""
+    prefix = "mix_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    copies = f"{prefix}copies"
+    rated = rates(docs, weights, most, seed, prefix)
+    return rated.where(F.col(copies) > 0).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)

@@ -112,8 +112,8 @@ def _let(value: str, name: str, body: str) -> str:
     return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def scan(docs: DataFrame, forest: str, accept: float = ACCEPT) -> DataFrame:
-    """``docs`` with ``secrets`` and ``clean_text`` added (existing columns of these names are replaced).
+def scan(docs: DataFrame, forest: str, accept: float = ACCEPT, prefix: str = "") -> DataFrame:
+    """``docs`` with ``secrets`` and ``clean_text`` added (existing columns of these names are replaced; a ``prefix`` keeps them).
 
     ``secrets`` holds every candidate in order as (start in characters, length,
     score, accepted); ``clean_text`` is the text with accepted ones replaced by
@@ -135,14 +135,19 @@ def scan(docs: DataFrame, forest: str, accept: float = ACCEPT) -> DataFrame:
     entries = _let(placed, "at", entries)
     clean = f"if(exists(p, q -> q >= {accept}D), array_join(transform(x.g, (g, i) -> concat(g, if(i < size(p), if(p[i] >= {accept}D, '{MARK}', x.c[i]), ''))), ''), text)"
     both = _let(f"named_struct('c', regexp_extract_all(text, '{candidate}', 0), 'g', split(text, '{candidate}'))", "x", _let(scored, "p", f"named_struct('secrets', {entries}, 'clean_text', {clean})"))
-    out = docs.drop("secrets", "clean_text").withColumn("_found", F.expr(f"if(text is null, null, {both})"))
-    return out.withColumns({"secrets": F.col("_found.secrets"), "clean_text": F.col("_found.clean_text")}).drop("_found")
+    found, secrets, clean_text = (f"{prefix}{c}" for c in ("found", "secrets", "clean_text"))
+    out = docs.drop(secrets, clean_text).withColumn(found, F.expr(f"if(text is null, null, {both})"))
+    return out.withColumns({secrets: F.col(found)["secrets"], clean_text: F.col(found)["clean_text"]}).drop(found)
 
 
 def redact(docs: DataFrame, forest: str, accept: float = ACCEPT) -> DataFrame:
     """The rows and columns of ``docs`` with secrets replaced in ``text``; ``n_chars`` follows where the text changed."""
-    found = scan(docs, forest, accept)
-    changed = F.col("clean_text") != F.col("text")
-    n = F.when(changed, F.length("clean_text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    put = {"text": F.col("clean_text")} | ({"n_chars": n} if n is not None else {})
+    prefix = "scan_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    found = scan(docs, forest, accept, prefix)
+    clean = F.col(f"{prefix}clean_text")
+    put = {"text": clean}
+    if "n_chars" in docs.columns:
+        put["n_chars"] = F.when(clean != F.col("text"), F.length(clean).cast("long")).otherwise(F.col("n_chars"))
     return found.withColumns(put).select(*docs.columns)

@@ -125,3 +125,12 @@ def test_pipeline_stages_follow_from_one_another(spark, tmp_path):
     pieces = kept[5].groupBy("doc_id").agg(F.sum("length").alias("n"), (F.sum(F.when(F.col("start") == 0, F.col("doc_tokens")))).alias("all")).collect()
     assert all(r.n == r["all"] for r in pieces) and len(op05_packing.FIELDS) == 7
     assert corpus_pipeline.run(spark, str(LABELLED)).count() > 0
+
+
+def test_one_row_of_each_id_stays(spark, tmp_path):
+    text = "one two three four five six seven"
+    rows = [(1, text), (1, text), (2, text), (3, "other words stand here in this row"), (None, text), (4, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("gone_id", F.lit(7))
+    left = corpus_pipeline.deduplicated(spark, docs, "")
+    assert left.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in left.collect()) == ["1", "3", "4", "None"]

@@ -255,6 +255,13 @@ def test_secrets(spark, forest):
             assert [docs[i][1][s.start : s.start + s.length] for s in r.secrets] == re.findall(op07_secrets.CANDIDATE, docs[i][1])
 
 
+def test_redaction_keeps_other_columns(spark, forest):
+    key = "4e61a74ab03847754d938118ecf003181de2dc09"
+    docs = table(spark, [(1, f'my token = "{key}" x', 99, "a", "b"), (2, "clean", 5, "c", "d"), (3, None, None, None, None)], "doc_id long, text string, n_chars long, scan_clean_text string, secrets string")
+    found = op07_secrets.redact(docs, forest)
+    assert [tuple(r) for r in found.orderBy("doc_id").collect()] == [(1, 'my token = "[SECRET]" x', 23, "a", "b"), (2, "clean", 5, "c", "d"), (3, None, None, None, None)]
+
+
 def test_secret_scan_is_native(spark, forest):
     plan = op07_secrets.scan(table(spark, [(1, "a")]), forest)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange|Join", plan)
@@ -292,7 +299,7 @@ def test_mixing_copies(spark):
     assert all(abs(taken[s] - t) < 0.1 * t + 50 for s, t in aim.items())
     assert sum(aim.values()) == pytest.approx(sum(x.mix_size for x in rated))
     mixed = op03_mixing.mix(docs)
-    assert mixed.columns == docs.columns
+    assert mixed.columns == docs.columns and {x.mix_target for x in mixed.collect()} == {"clash"}
     assert Counter(x.doc_id for x in mixed.collect()) == Counter({x.doc_id: x.mix_copies for x in rated if x.mix_copies})
     plan = mixed._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
