@@ -5,7 +5,7 @@ are dealt to shards of bounded size and queries to blocks; each (shard, block)
 is one task group. In it, a query's terms are split by their score bounds: terms
 whose bounds together cannot reach the k-th best score so far are non-essential.
 Candidates are scored on the postings of essential terms first; the others are
-probed only while a candidate's score plus the remaining bounds is competitive.
+probed only where a candidate's score plus the remaining bounds is competitive.
 The shards' lists are merged at the end.
 """
 
@@ -24,7 +24,7 @@ from terratess.staging import stage
 
 SCALE = 64
 K = 20
-SHARD_ROWS, BLOCK_ROWS, STEP = 8192, 1024, 1024
+SHARD_ROWS, BLOCK_ROWS, STEP = 32768, 512, 1024
 
 
 def _terms(scale: int):
@@ -55,49 +55,54 @@ def _matrix(column: pd.Series, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=np.float64).reshape(len(column), width)
 
 
-def max_score(query: np.ndarray, table: np.ndarray, ids: np.ndarray, barred: int, k: int) -> list[tuple[int, int]]:
-    """The k best (score, id) of a shard by MaxScore, best first; rows of id ``barred`` take no part.
+def max_score(queries: np.ndarray, barred: np.ndarray, table: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each query the k best scores of a shard and their ids, best first, by MaxScore; rows of a query's ``barred`` id take no part.
 
-    Whole numbers in doubles are exact as long as products sum to under 2**53.
+    ``ids`` must rise. Where fewer rows score, scores are -inf. A block of queries
+    goes through the postings together: one product over the essential terms of
+    each, then the other terms of the pairs that are still competitive. Whole
+    numbers in doubles are exact as long as products sum to under 2**53.
     """
-    bounds = np.maximum(0, np.maximum(query * table.max(axis=0), query * table.min(axis=0)))
-    order = np.argsort(bounds, kind="stable")  # least bounds first
-    sums = np.cumsum(bounds[order])
-    best_scores, best_ids = np.zeros(0), np.zeros(0, dtype=np.int64)
-    least = -np.inf
+    n, width = queries.shape
+    high, low = table.max(axis=0), table.min(axis=0)
+    bounds = np.maximum(0, np.maximum(queries * high, queries * low))
+    order = np.argsort(bounds, axis=1, kind="stable")  # least bounds first
+    sums = np.cumsum(np.take_along_axis(bounds, order, axis=1), axis=1)
+    place = np.argsort(order, axis=1, kind="stable")
+    best = np.full((n, k), -np.inf)
+    best_ids = np.full((n, k), np.iinfo(np.int64).max)
     for at in range(0, len(table), STEP):
         rows, own = table[at : at + STEP], ids[at : at + STEP]
-        free = int(np.searchsorted(sums, least, side="left")) if np.isfinite(least) and least > 0 else 0
-        essential, other = order[free:], order[:free]
-        alive = np.flatnonzero(own != barred)
-        if free:
-            gain = rows[np.ix_(alive, essential)] * query[essential]
-            posted = (gain > 0).any(axis=1)  # in a posting of an essential term
-            alive, score = alive[posted], gain[posted].sum(axis=1)
-            competitive = score + sums[free - 1] >= least
-            alive, score = alive[competitive], score[competitive]
-            score = score + rows[np.ix_(alive, other)] @ query[other]
-        else:
-            score = rows[alive] @ query
-        best_scores = np.concatenate([best_scores, score])
-        best_ids = np.concatenate([best_ids, own[alive]])
-        top = np.lexsort((best_ids, -best_scores))[:k]
-        best_scores, best_ids = best_scores[top], best_ids[top]
-        if len(top) == k:
-            least = best_scores[-1]
-    return [(int(s), int(i)) for s, i in zip(best_scores, best_ids)]
+        least = best[:, -1]
+        free = np.where(least > 0, (sums < least[:, None]).sum(axis=1), 0)
+        essential = place >= free[:, None]
+        score = (queries * essential) @ rows.T
+        rest = np.where(free > 0, np.take_along_axis(sums, np.maximum(free - 1, 0)[:, None], axis=1)[:, 0] if width else 0.0, 0.0)
+        q, r = np.nonzero((score + rest[:, None] >= least[:, None]) & (own[None, :] != barred[:, None]))
+        if not len(q):
+            continue
+        score = score[q, r]
+        probe = free[q] > 0
+        score[probe] += np.einsum("ij,ij->i", queries[q[probe]] * ~essential[q[probe]], rows[r[probe]])
+        # the pairs of each query follow what it holds; best first, ties by id
+        q, s, i = np.concatenate([np.repeat(np.arange(n), k), q]), np.concatenate([best.ravel(), score]), np.concatenate([best_ids.ravel(), own[r]])
+        top = np.lexsort((i, -s, q))
+        starts = np.searchsorted(q[top], np.arange(n))
+        pick = top[(starts[:, None] + np.arange(k)).ravel()]
+        best, best_ids = s[pick].reshape(n, k), i[pick].reshape(n, k)
+    return best, best_ids
 
 
 def _searched(k: int):
     def run(_, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(rows) and len(asked):
-            width = int(rows["width"].iloc[0])
-            rows = rows.sort_values("vec_id", kind="stable")
-            table, ids = _matrix(rows["terms"], width), rows["vec_id"].to_numpy()
-            for uid, vec_id, q in zip(asked["uid"], asked["vec_id"], _matrix(asked["terms"], width)):
-                out += [(uid, vec_id, i, s) for s, i in max_score(q, table, ids, vec_id, k)]
-        return pd.DataFrame(out, columns=["uid", "query_id", "vec_id", "score"]).astype("int64")
+        if not len(rows) or not len(asked):
+            return pd.DataFrame(np.zeros((0, 4), dtype=np.int64), columns=["uid", "query_id", "vec_id", "score"])
+        width = int(rows["width"].iloc[0])
+        rows = rows.sort_values("vec_id", kind="stable")
+        vec_id = asked["vec_id"].to_numpy()
+        scores, ids = max_score(_matrix(asked["terms"], width), vec_id, _matrix(rows["terms"], width), rows["vec_id"].to_numpy(), k)
+        q, n = np.nonzero(np.isfinite(scores))
+        return pd.DataFrame({"uid": asked["uid"].to_numpy()[q], "query_id": vec_id[q], "vec_id": ids[q, n], "score": scores[q, n].astype(np.int64)})
 
     return run
 
