@@ -36,7 +36,11 @@ def reproject(points: DataFrame, source, target) -> DataFrame:
     return points.withColumns({"_lon": lon, "_lat": lat}).withColumns({"x": x, "y": y}).drop("_lon", "_lat")
 
 
-def cell_components(cells: DataFrame, value: str = "v") -> DataFrame:
+#: Links of runs that one task joins (16 bytes each); more are contracted in distributed rounds.
+RUNS_IN_TASK = 2_000_000
+
+
+def cell_components(cells: DataFrame, value: str = "v", in_task: int = RUNS_IN_TASK) -> DataFrame:
     """``(px, py, value, component)``: 4-connected regions of equal value, named by their smallest cell ``py << 32 | px``.
 
     Rows of cells are cut into runs of equal value; runs that touch in neighbouring
@@ -49,7 +53,7 @@ def cell_components(cells: DataFrame, value: str = "v") -> DataFrame:
     runs = stage(cells.where(F.col(value).isNotNull()).select("px", "py", value, (F.shiftleft(F.col("py").cast("long"), 32) + start).alias("run")), "runs")
     up = runs.select("px", (F.col("py") + 1).alias("py"), F.col(value).alias("_v"), F.col("run").alias("above"))
     links = runs.join(up, ["px", "py"]).where(F.col(value) == F.col("_v")).select(F.col("above").alias("a"), F.col("run").alias("b")).distinct()
-    label = components(links).withColumnRenamed("node", "run")
+    label = components(links, in_task).withColumnRenamed("node", "run")
     return runs.join(label, "run", "left").select("px", "py", value, F.coalesce("label", "run").alias("component"))
 
 
