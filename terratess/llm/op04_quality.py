@@ -7,13 +7,15 @@ pool of which it is confident, and these teach the other view. The calibrated
 views are then combined on labelled rows that neither was taught with, and every
 document is scored.
 
-The models learn from a bounded sample (``LABELLED`` labelled and ``POOL``
-unlabelled documents, chosen by a hash of the id), whose features, not texts, go
-to the driver. Everything else runs over all rows.
+The models learn from a bounded sample (``LABELLED`` labelled documents, half of
+them of either kind at most, and ``POOL`` unlabelled ones, chosen by a hash of the
+id), whose features, not texts, go to the driver. The kinds' shares among all
+labels are put back into the calibration. Everything else runs over all rows.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,9 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terratess.llm.textbytes import SPACED, hashed_words
+from terratess.staging import release, stage
 
 LABELLED, POOL = 4000, 4000
 ROUNDS = 3
+#: Labelled documents of either kind without which nothing is learned: two teach, one calibrates.
+LEAST = 3
 CONFIDENT = 0.97
 #: Documents score at least this to be kept.
 KEEP = 0.5
@@ -136,12 +141,13 @@ class _View:
         self.columns, self.counts, self.rows, self.n, self.size, self.dense = columns, counts, rows, n, size, dense
         self.total = np.maximum(np.bincount(rows, weights=counts, minlength=n), 1)
 
-    def fit(self, y: np.ndarray, taught: np.ndarray, measured: np.ndarray):
-        """``taught`` rows give the evidence, ``measured`` rows (labels too) the calibration."""
+    def fit(self, y: np.ndarray, taught: np.ndarray, measured: np.ndarray, shift: float):
+        """``taught`` rows give the evidence, ``measured`` rows (labels too) the calibration, ``shift`` the log odds that the sample took from it."""
         use = taught[self.rows]
         self.weights = _evidence(self.columns[use], self.counts[use], self.rows[use], y, self.size)
         x = self.matrix()
         self.w = _logistic(x[measured], y[measured])
+        self.w[-1] += shift
         return _sigmoid(np.column_stack([x, np.ones(self.n)]) @ self.w)
 
     def matrix(self) -> np.ndarray:
@@ -168,13 +174,21 @@ def _chosen(ids: DataFrame, most: int, seed: int) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS, confident: float = CONFIDENT) -> Model | None:
-    """Fits the views; none if fewer than 20 labelled documents of either kind were found.
+    """Fits the views; none, with a warning, if fewer than ``LEAST`` labelled documents of either kind were found.
 
     ``labels (doc_id, quality)``: repeated labels of a document vote (ties: good); null ids and labels are ignored.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     prepared = _prepared(docs)
-    some = _chosen(known, labelled, 1)
+    known = stage(known.join(prepared.select("id"), "id", "left_semi"), "labels")
+    total = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}  # of two kinds
+    if min(total.get(0, 0), total.get(1, 0)) < LEAST:
+        warnings.warn(f"labelled documents by quality: {total}; without {LEAST} of either nothing is learned and all documents are kept", stacklevel=2)
+        release(known)
+        return None
+    kinds = [known.where(F.col("y") == k) for k in (0, 1)]
+    bad, good = (kind if total[k] <= labelled // 2 else _chosen(kind, labelled // 2, 1) for k, kind in enumerate(kinds))
+    some = bad.unionByName(good)
     free = _chosen(prepared.select("id").where("id is not null"), pool, 2).join(known.select("id"), "id", "left_anti").withColumn("y", F.lit(-1))
     wanted = F.broadcast(some.unionByName(free))  # at most labelled + pool rows
     rows = prepared.join(wanted, "id")
@@ -182,6 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     # the metadata of the sample stands beside its features by id
     table = features.toArrow()
     side = rows.select("id", "meta", "y").toArrow()
+    release(known)
     order = np.argsort(np.asarray(table["id"]), kind="stable")
     table = table.take(order)
     ids = np.asarray(table["id"])
@@ -190,26 +205,28 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     table, ids = table.filter(pa.array(keep)), ids[keep]
     sides = {i: (m, y) for i, m, y in zip(side["id"].to_pylist(), side["meta"].to_pylist(), side["y"].to_pylist())}
     n = len(ids)
-    y = np.array([sides[i][1] for i in ids.tolist()], dtype=np.int64) if n else np.zeros(0, dtype=np.int64)
-    if min((y == 0).sum(), (y == 1).sum()) < 20:
-        return None
+    y = np.array([sides[i][1] for i in ids.tolist()], dtype=np.int64)
     size = np.array([len(x) for x in table["buckets"]])
     text = _View(np.concatenate([np.asarray(x.values) for x in table["buckets"]]).astype(np.int64), np.concatenate([np.asarray(x.values) for x in table["counts"]]).astype(np.float64), np.repeat(np.arange(n), size), n, WORDS + TAILS, np.array(table["shapes"].to_pylist()))
     columns = np.array([sides[i][0] for i in ids.tolist()])
     meta = _View(columns.ravel(), np.ones(columns.size), np.repeat(np.arange(n), columns.shape[1]), n, META, np.zeros((n, 0)))
     sure = y >= 0
-    half = np.arange(n) % 2 == 0
-    measured = sure & ~half
+    measured = np.zeros(n, dtype=bool)
+    for k in (0, 1):
+        measured[np.flatnonzero(y == k)[1::2]] = True
+    # odds of the kinds among all labels against those among the measured rows
+    shift = float(np.log(total[1] / total[0]) - np.log((y[measured] == 1).sum() / (y[measured] == 0).sum()))
     teach = {"text": y.copy(), "meta": y.copy()}
     p_text = p_meta = np.zeros(0)
     for turn in range(rounds + 1):
-        p_text = text.fit(teach["text"], (teach["text"] >= 0) & ~measured, measured)
-        p_meta = meta.fit(teach["meta"], (teach["meta"] >= 0) & ~measured, measured)
+        p_text = text.fit(teach["text"], (teach["text"] >= 0) & ~measured, measured, shift)
+        p_meta = meta.fit(teach["meta"], (teach["meta"] >= 0) & ~measured, measured, shift)
         if turn < rounds:
             for p, other in ((p_text, "meta"), (p_meta, "text")):
                 teach[other][~sure & (p >= confident)] = 1
                 teach[other][~sure & (p <= 1 - confident)] = 0
     joint = _logistic(np.column_stack([_logit(p_text), _logit(p_meta)])[measured], y[measured], ridge=0.1)
+    joint[-1] += shift
     return Model(text.weights, text.w, meta.weights, meta.w, joint)
 
 

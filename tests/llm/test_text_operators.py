@@ -324,3 +324,20 @@ def test_quality_held_out_accuracy(spark):
     assert kept.schema == docs.schema and {x.doc_id for x in kept.collect()} == {i for i, x in found.items() if x.kept}
     few = op04_quality.classify(docs, labels.where("doc_id < 5")).collect()
     assert all(x.kept and x.score is None for x in few)
+
+
+def test_quality_learns_from_few_bad_labels(spark):
+    """A kind that a sample of all labels would miss still teaches, and the classifier is not idle."""
+    r = random.Random(9)
+    pool = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(500)]
+    good = lambda: " ".join(r.choice(pool) for _ in range(30)) + "."
+    bad = lambda: " ".join(f"{r.choice(pool)}###" for _ in range(20))
+    rows = [(i, bad() if i % 100 == 0 else good(), "en", "s1", 100) for i in range(2000)]
+    docs = table(spark, rows, DOCS)
+    labels = table(spark, [(i, int(i % 100 > 0), 0) for i in range(1600)] + [(i, 0, 0) for i in range(5000, 9000)], "doc_id long, quality int, toxic int")
+    for most in (4000, 200):  # all 16 bad labels, of 1,600 and of a bounded sample
+        found = {x.doc_id: x for x in op04_quality.classify(docs, labels, labelled=most).collect()}
+        assert all(x.score is not None for x in found.values())
+        assert {i for i, x in found.items() if not x.kept} == set(range(0, 2000, 100))
+    few = labels.where("doc_id in (100, 200, 300) or doc_id between 1 and 30")
+    assert op04_quality.filter_documents(docs, few).where("doc_id >= 1600 and doc_id % 100 = 0").count() == 0
