@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 import numpy as np
@@ -15,6 +16,12 @@ from terratess.operators.raster import extract_points
 from terratess.staging import release, stage
 
 Points = Sequence[tuple[float, float]]
+#: Vertices that the driver's memory holds by default.
+MOST_VERTICES = 200_000
+
+
+class MeshFull(ValueError):
+    """The bound on vertices was reached with triangles left that fail the criteria."""
 
 
 class Mesh:
@@ -25,6 +32,7 @@ class Mesh:
         self.boundary, self.constraints = list(boundary), [list(c) for c in constraints]
         self.t = Triangulation(min(xs), min(ys), max(xs), max(ys))
         self.skipped = 0  # constraint segments that cross others or leave the domain
+        self.left = 0  # triangles that fail the criteria and cannot be split
         self._build([])
 
     def _build(self, inner: Points) -> None:
@@ -101,6 +109,11 @@ class Mesh:
                 if self._stands(key) and not self.split(key, shortest):
                     stuck.add(key)
 
+    def failing(self, max_area: float, least_sine2: float) -> int:
+        """Triangles that are too large or too sharp."""
+        all_ = (self.corners(self.t.triangles[k]) for k in self.t.domain())
+        return sum(abs(orient(*p)) / 2 > max_area or sine2_of(*p) < least_sine2 for p in all_)
+
     def _stands(self, key: tuple[int, ...]) -> bool:
         """Whether a triangle of these vertices still exists; split() looks no further."""
         p = [self.t.points[v] for v in key]
@@ -156,24 +169,30 @@ def frames(spark: SparkSession, mesh: Mesh) -> tuple[DataFrame, DataFrame, DataF
     return v, e, n
 
 
-def refine(spark: SparkSession, boundary: Points, cells: DataFrame, grid: Grid, criteria: acceptance.Criteria, constraints: Sequence[Points] = (), lloyd: int = 0, rounds: int = 40, most_vertices: int = 200_000) -> Mesh:
+def refine(spark: SparkSession, boundary: Points, cells: DataFrame, grid: Grid, criteria: acceptance.Criteria, constraints: Sequence[Points] = (), lloyd: int = 0, most_vertices: int = MOST_VERTICES) -> Mesh:
     """A mesh of the domain in which every triangle is accepted by ``criteria``.
 
     Each round the kernel first settles areas and angles, then one distributed
     query judges the triangles that no earlier round accepted, and the bad ones
-    are split, largest first. It ends when none is bad, or at the caps on rounds
-    and vertices. Triangles of no more than ``min_area`` are accepted, which bounds
-    refinement; edges are not cut below a thousandth of its side.
+    are split, largest first. It ends when none is bad; ``MeshFull`` is raised when
+    the bound on vertices is reached before. Triangles of no more than ``min_area``
+    are accepted, which bounds refinement; edges are not cut below a thousandth of
+    its side, so sharp corners of the outline can stay: a warning gives the number of
+    such triangles, which ``Mesh.left`` holds.
     """
     mesh = Mesh(boundary, constraints)
     shortest = max(criteria.min_area, 1e-12) ** 0.5 / 1000
     judged: set[tuple[int, ...]] = set()
-    for _ in range(rounds):
+    while True:
         mesh.improve(criteria.max_area, acceptance.LEAST_SINE2, shortest, most_vertices)
+        before = len(mesh.t.points)
         if not criteria.tested and not criteria.uniform:
+            mesh.left = mesh.failing(criteria.max_area, acceptance.LEAST_SINE2)
+            if mesh.left and before >= most_vertices:
+                raise MeshFull(f"{mesh.left} triangles fail the criteria at the bound of {most_vertices} vertices")
             break
         fresh = [tri for k in mesh.t.domain() if tuple(sorted(tri := mesh.t.triangles[k])) not in judged]
-        if not fresh or len(mesh.t.points) >= most_vertices:
+        if not fresh:
             break
         used = sorted({v for tri in fresh for v in tri})
         vertex = spark.createDataFrame([(v, *mesh.t.xy(v), 0.0) for v in used], MESH_VERTEX)
@@ -182,16 +201,19 @@ def refine(spark: SparkSession, boundary: Points, cells: DataFrame, grid: Grid,
         # one row per triangle of the mesh in the making, which the kernel holds anyway
         bad = {r["tri"]: r["area"] for r in found.select("tri", "area").collect()}
         judged |= {tuple(sorted(tri)) for k, tri in enumerate(fresh) if k not in bad}
-        changed = False
+        if bad and before >= most_vertices:
+            raise MeshFull(f"{len(bad)} triangles fail the criteria at the bound of {most_vertices} vertices")
         for k in sorted(bad, key=lambda k: (-bad[k], k)):
+            if len(mesh.t.points) >= most_vertices:
+                break
             key = tuple(sorted(fresh[k]))
             if mesh._stands(key):
-                done = mesh.split(key, shortest)
-                changed |= done
-                if not done:
-                    judged.add(key)
-        if not changed:
+                mesh.split(key, shortest)
+        if len(mesh.t.points) == before:
+            mesh.left = len(bad)
             break
+    if mesh.left:
+        warnings.warn(f"{mesh.left} triangles fail the criteria and cannot be split", stacklevel=2)
     if lloyd:
         mesh.smooth(lloyd)
     return mesh
@@ -202,7 +224,7 @@ def vertex_heights(vertex: DataFrame, cells: DataFrame, grid: Grid) -> DataFrame
     return extract_points(vertex.select("vid", "x", "y"), cells, grid, "z")
 
 
-def repair_heights(vertex: DataFrame, elem: DataFrame, rounds: int = 100) -> DataFrame:
+def repair_heights(vertex: DataFrame, elem: DataFrame) -> DataFrame:
     """Fills missing heights with the mean of the other valid vertices of a triangle: in each round that of the smallest id, until none is left.
 
     A vertex whose whole component has no height is an error.
@@ -210,17 +232,16 @@ def repair_heights(vertex: DataFrame, elem: DataFrame, rounds: int = 100) -> Dat
     corner = F.array(*[F.struct(F.col(f"v{k}").alias("vid"), F.array(f"v{(k + 1) % 3}", f"v{(k + 2) % 3}").alias("others")) for k in range(3)])
     links = elem.select("tri", F.inline(corner)).select("tri", "vid", F.explode("others").alias("other"))
     held = None
-    for _ in range(rounds):
+    left = vertex.where("z is null").count()
+    while left:
         lost = vertex.where("z is null").select("vid")
-        left = lost.count()
-        if not left:
-            return vertex
         means = links.join(lost, "vid", "left_semi").join(vertex.where("z is not null").select(F.col("vid").alias("other"), "z"), "other").groupBy("vid", "tri").agg(F.avg("z").alias("mean"))
         first = means.groupBy("vid").agg(F.min(F.struct("tri", "mean"))["mean"].alias("_mean"))
         vertex = stage(vertex.join(first, "vid", "left").withColumn("z", F.coalesce("z", "_mean")).drop("_mean"), "heights")
         release(held)
         held = vertex
-        if vertex.where("z is null").count() == left:
+        before, left = left, vertex.where("z is null").count()
+        if left == before:
             raise ValueError(f"{left} vertices have no height and no neighbour with one")
     return vertex
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field, fields
 from typing import Any
 
 from terratess.operators.acceptance import topography_weight
+from terratess.operators.refine import MOST_VERTICES
 from terratess.operators.zonal import METHODS
 
 ERROR_METRICS = ("rmse", "mean_tol", "max_tol")
@@ -80,6 +81,7 @@ class Config:
     simplify_buffer: float = -10.0
     no_simplify_buffer: bool = False
     lloyd_itr: int = 0
+    most_vertices: int = MOST_VERTICES
     reuse_mesh: bool = False
     fill_holes: bool = False
     fill_radius: int = 5
@@ -107,6 +109,7 @@ class Config:
             (self.extent is not None and self.clip_to_shp is not None, "extent and clip_to_shp exclude each other"),
             (self.simplify_buffer > 0, "simplify_buffer must not be positive"),
             (self.lloyd_itr < 0 or self.max_smooth_iter < 0, "iterations must not be negative"),
+            (self.most_vertices < 3, "most_vertices must be 3 at least"),
             (not 0 <= self.weight_threshold <= 1, "weight_threshold is a fraction"),
         )
         for broken, what in rules:

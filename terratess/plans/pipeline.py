@@ -125,7 +125,7 @@ def run(spark: SparkSession, cfg: Config) -> Result:
         if lines is not None:
             for r in lines.orderBy("fid", "part", "seq").collect():  # the kernel holds the planar graph anyway
                 inner.setdefault((r.fid, r.part), []).append((r.x, r.y))
-        mesh = refine.refine(spark, outline, cells, grid, criteria(cfg, grid), list(inner.values()), cfg.lloyd_itr)
+        mesh = refine.refine(spark, outline, cells, grid, criteria(cfg, grid), list(inner.values()), cfg.lloyd_itr, cfg.most_vertices)
         vertex, elem, neigh = refine.frames(spark, mesh)
         triangle_files.write_triangles(stem, vertex, elem, neigh)
     heights = refine.repair_heights(refine.vertex_heights(vertex, cells, grid), elem)

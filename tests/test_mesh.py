@@ -115,3 +115,27 @@ def test_heights_are_repaired_in_rounds(spark):
     assert found == {0: 1.0, 1: 3.0, 2: 2.0, 3: 3.0}
     with pytest.raises(ValueError):
         refine.repair_heights(vertex.withColumn("z", vertex.z * None), elem)
+
+
+def test_full_mesh_is_an_error(spark, hill):
+    grid, cells = hill
+    outline = [(0.0, 0.0), (320.0, 0.0), (320.0, 320.0), (0.0, 320.0)]
+    by_error = acceptance.Criteria(max_area=40_000.0, min_area=200.0, layers={"z": acceptance.Layer("rmse", 15.0)})
+    for criteria in (by_error, acceptance.Criteria(500.0, 100.0), acceptance.Criteria(1e6, 500.0, uniform=True)):
+        with pytest.raises(refine.MeshFull):
+            refine.refine(spark, outline, cells, grid, criteria, most_vertices=20)
+
+
+def test_sharp_corner_is_counted(spark, hill):
+    grid, cells = hill
+    with pytest.warns(UserWarning, match="cannot be split"):
+        mesh = refine.refine(spark, [(0.0, 0.0), (320.0, 0.0), (320.0, 20.0)], cells, grid, acceptance.Criteria(1e6, 2000.0))
+    assert mesh.left > 0
+
+
+def test_deep_holes_are_filled(spark):
+    """A strip of triangles with a height at one end only, more than 100 vertices deep."""
+    n = 206  # two a round
+    vertex = spark.createDataFrame([(k, float(k), float(k % 2), 5.0 if k < 2 else None) for k in range(n)], "vid int, x double, y double, z double").coalesce(1)
+    elem = spark.createDataFrame([(k, k, k + 1, k + 2) for k in range(n - 2)], "tri int, v0 int, v1 int, v2 int").coalesce(1)
+    assert {r.z for r in refine.repair_heights(vertex, elem).collect()} == {5.0}
