@@ -51,14 +51,14 @@ class Automaton:
     def __init__(self, sequences: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.at: list[dict[int, int]] = [{}]  # of each state: sequence -> where its first occurrence there ends
+        self.at: list[dict[int, list[int]]] = [{}]  # of each state that a match can end in: sequence -> where its occurrences there end
         for k, sequence in enumerate(sequences):
             last = 0
             for i, x in enumerate(sequence):
                 last = self._extend(last, x)
                 v = last
-                while v > 0 and k not in self.at[v]:
-                    self.at[v][k] = i
+                while v > 0 and self.length[v] >= LEAST_MATCH:
+                    self.at[v].setdefault(k, []).append(i)
                     v = self.link[v]
 
     def _state(self, length: int, link: int, edges: dict[int, int]) -> int:
@@ -71,7 +71,8 @@ class Automaton:
     def _split(self, p: int, q: int, x: int) -> int:
         """A state for the shorter runs of ``q``, those that ``p`` reaches by ``x``."""
         c = self._state(self.length[p] + 1, self.link[q], dict(self.next[q]))
-        self.at[c] = dict(self.at[q])
+        if self.length[c] >= LEAST_MATCH:
+            self.at[c] = {k: list(ends) for k, ends in self.at[q].items()}
         self.link[q] = c
         while p >= 0 and self.next[p].get(x) == q:
             self.next[p][x] = c
@@ -182,26 +183,46 @@ class Scanner:
             matches.append((offset + len(words) - 1, held[1], held[0]))
 
     def spans(self, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
-        """Chains as (template, first word, last word, share of the template), the best chain of each place."""
+        """Chains as (template, first word, last word, share of the template), the best chain of each place.
+
+        A match stands at every place that its run has in a template. Each extends the chain that covers most with it, of all whose ends are within ``GAP``.
+        """
         by: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for end, n, state in matches:
-            for k, at in self.automaton.at[state].items():
+            for k, ends in self.automaton.at[state].items():
                 if k < len(self.labels):
-                    by[k].append((end + 1 - n, at + 1 - n, n))
+                    by[k] += [(end + 1 - n, at + 1 - n, n) for at in ends]
         out = []
         for k, found in by.items():
-            chain: list[list[int]] = []  # first, last, template position reached, words covered
-            for first, at, n in sorted(found):
-                grown = False
-                for c in chain[-4:][::-1]:
-                    over = max(0, c[1] + 1 - first, c[2] - at)
-                    if n > over and first - c[1] - 1 <= GAP and at - c[2] <= GAP and at + n > c[2]:
-                        c[1], c[2], c[3] = first + n - 1, at + n, c[3] + n - over
-                        grown = True
-                        break
-                if not grown:
-                    chain.append([first, first + n - 1, at + n, n])
-            out += [(k, c[0], c[1], min(1.0, c[3] / self.sizes[k])) for c in chain]
+            found.sort()
+            covered, before, near = [], [], []  # words of the best chain to each match, the match before it, matches that may be extended
+            for m, (first, at, n) in enumerate(found):
+                near = [c for c in near if first - found[c][0] - found[c][2] <= GAP]
+                best, link = n, -1
+                for c in near:
+                    last, reached = found[c][0] + found[c][2], found[c][1] + found[c][2]
+                    over = max(0, last - first, reached - at)
+                    if n > over and at - reached <= GAP and covered[c] + n - over > best:
+                        best, link = covered[c] + n - over, c
+                covered.append(best)
+                before.append(link)
+                near.append(m)
+            taken: set[int] = set()
+            chains: list[tuple[int, int, int]] = []  # first, last, words covered
+            for m in sorted(range(len(found)), key=lambda m: (-covered[m], m)):
+                if m in taken:
+                    continue
+                c = first = m
+                while c >= 0 and c not in taken:
+                    taken.add(c)
+                    first, c = c, before[c]
+                chains.append((found[first][0], found[m][0] + found[m][2] - 1, covered[m] - (covered[c] if c >= 0 else 0)))
+            # a weaker chain inside a better one is the same place again
+            kept: list[tuple[int, int, int]] = []
+            for x in chains:
+                if not any(y[0] <= x[0] and x[1] <= y[1] for y in kept):
+                    kept.append(x)
+            out += [(k, a, b, min(1.0, words / self.sizes[k])) for a, b, words in sorted(kept)]
         return out
 
 

@@ -341,3 +341,14 @@ def test_quality_learns_from_few_bad_labels(spark):
         assert {i for i, x in found.items() if not x.kept} == set(range(0, 2000, 100))
     few = labels.where("doc_id in (100, 200, 300) or doc_id between 1 and 30")
     assert op04_quality.filter_documents(docs, few).where("doc_id >= 1600 and doc_id % 100 = 0").count() == 0
+
+
+def test_license_chains_take_later_places_of_a_run(spark):
+    """A run that stands twice in a template extends a chain at its second place."""
+    words = lambda c, n: " ".join(f"{c}{k}" for k in range(n))
+    template = f"one two three four {words('x', 10)} one two three four {words('y', 6)}"
+    texts = [(1, f"{words('x', 10)} zz one two three four zz {words('y', 6)}"), (2, template), (3, f"{template} {words('q', 30)} one two three four")]
+    found = {r.doc_id: r.spans for r in op10_license.scan(table(spark, texts), phrases=(("p", "no such phrase"),), templates=(("long", template),)).collect()}
+    assert [(s.first_word, s.last_word, s.coverage) for s in found[1]] == [(0, 21, 20 / 24)]
+    assert [(s.first_word, s.last_word, s.coverage) for s in found[2]] == [(0, 23, 1.0)]
+    assert {(s.first_word, s.last_word, s.coverage) for s in found[3]} == {(0, 23, 1.0), (54, 57, 4 / 24)}
