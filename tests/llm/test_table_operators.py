@@ -134,3 +134,14 @@ def test_one_row_of_each_id_stays(spark, tmp_path):
     left = corpus_pipeline.deduplicated(spark, docs, "")
     assert left.columns == docs.columns
     assert sorted(str(r.doc_id) for r in left.collect()) == ["1", "3", "4", "None"]
+
+
+def test_other_texts_of_an_id_stay(spark):
+    """A row goes for its own text only, not for that of a namesake."""
+    texts = {c: " ".join(f"{c}{k}" for k in range(40)) for c in "abcde"}
+    near = texts["d"].replace("d39", "other")
+    rows = [(1, "a"), (5, "a"), (5, "b"), (5, "c"), (5, "c"), (6, "c"), (7, "d"), (8, "e")]
+    docs = spark.createDataFrame([(i, texts[c]) for i, c in rows] + [(7, near), (8, near)], "doc_id long, text string")
+    left = corpus_pipeline.deduplicated(spark, docs, "").collect()
+    found = sorted((r.doc_id, "d" if r.text == near else r.text[0]) for r in left)
+    assert found == [(1, "a"), (5, "b"), (5, "c"), (7, "d"), (8, "e")]
