@@ -2,15 +2,16 @@
 
 Two views of a document, its text and its page metadata, have a classifier each:
 naive Bayes evidence, averaged over what the view holds, under a small calibrated
-logistic model. In every round each view labels the documents of an unlabelled
-pool of which it is confident, and these teach the other view. The calibrated
+logistic model. In every round each view labels the documents of the whole corpus
+of which it is confident, and these teach the other view. The calibrated
 views are then combined on labelled rows that neither was taught with, and every
 document is scored.
 
-The models learn from a bounded sample (``LABELLED`` labelled documents, half of
-them of either kind at most, and ``POOL`` unlabelled ones, chosen by a hash of the
-id), whose features, not texts, go to the driver. The kinds' shares among all
-labels are put back into the calibration. Everything else runs over all rows.
+Labels come from a bounded sample (``LABELLED`` documents, half of them of either
+kind at most, chosen by a hash of the id), whose features, not texts, go to the
+driver. The kinds' shares among all labels are put back into the calibration.
+Everything else runs over all rows: labelled documents outside the sample count as
+unlabelled, and of confident ones distributed counts by bucket reach the driver.
 """
 
 from __future__ import annotations
@@ -21,13 +22,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terratess.llm.textbytes import SPACED, hashed_words
 from terratess.staging import release, stage
 
-LABELLED, POOL = 4000, 4000
+LABELLED = 4000
 ROUNDS = 3
 #: Labelled documents of either kind without which nothing is learned: two teach, one calibrates.
 LEAST = 3
@@ -116,10 +118,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def _evidence(columns: np.ndarray, counts: np.ndarray, rows: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
-    """Log odds of each feature in good against bad rows, smoothed."""
-    good = np.bincount(columns, weights=counts * (y[rows] == 1), minlength=size) + 0.5
-    bad = np.bincount(columns, weights=counts * (y[rows] == 0), minlength=size) + 0.5
+def _evidence(columns: np.ndarray, counts: np.ndarray, rows: np.ndarray, y: np.ndarray, size: int, more: np.ndarray) -> np.ndarray:
+    """Log odds of each feature in good against bad rows, smoothed; ``more`` holds the pseudo-labelled counts of (bad, good) and weighs no more than the labels of its kind."""
+    kinds = []
+    for k in (0, 1):
+        own = np.bincount(columns, weights=counts * (y[rows] == k), minlength=size)
+        kinds.append(own + more[k] * min(1.0, own.sum() / max(more[k].sum(), 1.0)) + 0.5)
+    bad, good = kinds
     return np.log(good / good.sum()) - np.log(bad / bad.sum())
 
 
@@ -141,10 +146,10 @@ class _View:
         self.columns, self.counts, self.rows, self.n, self.size, self.dense = columns, counts, rows, n, size, dense
         self.total = np.maximum(np.bincount(rows, weights=counts, minlength=n), 1)
 
-    def fit(self, y: np.ndarray, taught: np.ndarray, measured: np.ndarray, shift: float):
-        """``taught`` rows give the evidence, ``measured`` rows (labels too) the calibration, ``shift`` the log odds that the sample took from it."""
+    def fit(self, y: np.ndarray, taught: np.ndarray, measured: np.ndarray, shift: float, more: np.ndarray):
+        """``taught`` rows give the evidence, ``measured`` rows (labels too) the calibration, ``shift`` the log odds that the sample took from it, ``more`` the evidence of pseudo-labels."""
         use = taught[self.rows]
-        self.weights = _evidence(self.columns[use], self.counts[use], self.rows[use], y, self.size)
+        self.weights = _evidence(self.columns[use], self.counts[use], self.rows[use], y, self.size, more)
         x = self.matrix()
         self.w = _logistic(x[measured], y[measured])
         self.w[-1] += shift
@@ -173,7 +178,7 @@ def _chosen(ids: DataFrame, most: int, seed: int) -> DataFrame:
     return best.select(*[F.col(f"x.{c}").alias(c) for c in ids.columns])
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS, confident: float = CONFIDENT) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, confident: float = CONFIDENT) -> Model | None:
     """Fits the views; none, with a warning, if fewer than ``LEAST`` labelled documents of either kind were found.
 
     ``labels (doc_id, quality)``: repeated labels of a document vote (ties: good); null ids and labels are ignored.
@@ -188,9 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
         return None
     kinds = [known.where(F.col("y") == k) for k in (0, 1)]
     bad, good = (kind if total[k] <= labelled // 2 else _chosen(kind, labelled // 2, 1) for k, kind in enumerate(kinds))
-    some = bad.unionByName(good)
-    free = _chosen(prepared.select("id").where("id is not null"), pool, 2).join(known.select("id"), "id", "left_anti").withColumn("y", F.lit(-1))
-    wanted = F.broadcast(some.unionByName(free))  # at most labelled + pool rows
+    wanted = F.broadcast(bad.unionByName(good))  # at most `labelled` rows
     rows = prepared.join(wanted, "id")
     features = rows.select("id", "text").mapInArrow(_sampled, "id long, buckets array<smallint>, counts array<int>, shapes array<double>")
     # the metadata of the sample stands beside its features by id
@@ -210,39 +213,90 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     text = _View(np.concatenate([np.asarray(x.values) for x in table["buckets"]]).astype(np.int64), np.concatenate([np.asarray(x.values) for x in table["counts"]]).astype(np.float64), np.repeat(np.arange(n), size), n, WORDS + TAILS, np.array(table["shapes"].to_pylist()))
     columns = np.array([sides[i][0] for i in ids.tolist()])
     meta = _View(columns.ravel(), np.ones(columns.size), np.repeat(np.arange(n), columns.shape[1]), n, META, np.zeros((n, 0)))
-    sure = y >= 0
     measured = np.zeros(n, dtype=bool)
     for k in (0, 1):
         measured[np.flatnonzero(y == k)[1::2]] = True
     # odds of the kinds among all labels against those among the measured rows
     shift = float(np.log(total[1] / total[0]) - np.log((y[measured] == 1).sum() / (y[measured] == 0).sum()))
-    teach = {"text": y.copy(), "meta": y.copy()}
+    past: list[tuple] = []
+    more = np.zeros((2, WORDS + TAILS + META))
     p_text = p_meta = np.zeros(0)
     for turn in range(rounds + 1):
-        p_text = text.fit(teach["text"], (teach["text"] >= 0) & ~measured, measured, shift)
-        p_meta = meta.fit(teach["meta"], (teach["meta"] >= 0) & ~measured, measured, shift)
+        p_text = text.fit(y, ~measured, measured, shift, more[:, : WORDS + TAILS])
+        p_meta = meta.fit(y, ~measured, measured, shift, more[:, WORDS + TAILS :])
         if turn < rounds:
-            for p, other in ((p_text, "meta"), (p_meta, "text")):
-                teach[other][~sure & (p >= confident)] = 1
-                teach[other][~sure & (p <= 1 - confident)] = 0
+            past.append((text.weights, text.w, meta.weights, meta.w))
+            more = _pseudo(prepared, past, ids, confident)
     joint = _logistic(np.column_stack([_logit(p_text), _logit(p_meta)])[measured], y[measured], ridge=0.1)
     joint[-1] += shift
     return Model(text.weights, text.w, meta.weights, meta.w, joint)
 
 
+def _text_view(weights: np.ndarray, fit: np.ndarray, counts, words, tails, shapes) -> np.ndarray:
+    total = np.concatenate([[0], np.cumsum(weights[words] + weights[WORDS + tails])])
+    ends = np.cumsum(counts)
+    mean = (total[ends] - total[ends - counts]) / np.maximum(2 * counts, 1)
+    return _sigmoid(np.column_stack([mean, shapes, np.ones(len(counts))]) @ fit)
+
+
+def _meta_view(weights: np.ndarray, fit: np.ndarray, meta: np.ndarray) -> np.ndarray:
+    return _sigmoid(np.column_stack([weights[meta].mean(axis=1), np.ones(len(meta))]) @ fit)
+
+
+def _taught(past: list[tuple], sampled: np.ndarray, confident: float):
+    """Per bucket the counts in documents that the other view is confident of; a later round's word goes before an earlier one's."""
+
+    def label(found: list[np.ndarray], out: np.ndarray) -> np.ndarray:
+        for p in found:
+            out[p >= confident] = 1
+            out[p <= 1 - confident] = 0
+        return out
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        more = np.zeros((2, WORDS + TAILS + META), dtype=np.int64)
+        known = pa.array(sampled, pa.int64())
+        for batch in batches:
+            free = ~np.asarray(pc.is_in(batch.column(0), value_set=known))
+            meta = np.asarray(batch.column(2).flatten()).reshape(batch.num_rows, -1)
+            by_meta = label([_meta_view(w, fit, meta) for _, _, w, fit in past], np.full(batch.num_rows, -1))
+            by_text = np.full(batch.num_rows, -1)
+            by_meta[~free] = -1
+            for i, j, counts, words, tails, shapes in _features(batch.column(1)):
+                by_text[i:j] = label([_text_view(w, fit, counts, words, tails, shapes) for w, fit, _, _ in past], by_text[i:j])
+                kind = np.repeat(by_meta[i:j], counts)
+                for k in (0, 1):
+                    use = kind == k
+                    more[k, :WORDS] += np.bincount(words[use], minlength=WORDS)
+                    more[k, WORDS : WORDS + TAILS] += np.bincount(tails[use], minlength=TAILS)
+            by_text[~free] = -1
+            for k in (0, 1):
+                more[k, WORDS + TAILS :] += np.bincount(meta[by_text == k].ravel(), minlength=META)
+        at = np.flatnonzero(more.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(more[0, at]), pa.array(more[1, at])], ["bucket", "bad", "good"])
+
+    return run
+
+
+def _pseudo(prepared: DataFrame, past: list[tuple], sampled: np.ndarray, confident: float) -> np.ndarray:
+    """Counts (bad, good) of the text's and the metadata's buckets over all documents outside the sample; a row per bucket reaches the driver."""
+    counts = prepared.mapInArrow(_taught(past, sampled, confident), "bucket int, bad long, good long")
+    found = counts.groupBy("bucket").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toArrow()
+    more = np.zeros((2, WORDS + TAILS + META))
+    for k, kind in enumerate(("bad", "good")):
+        more[k, np.asarray(found["bucket"], dtype=np.int64)] = np.asarray(found[kind])
+    return more
+
+
 def _scored(model: Model):
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p_text = np.zeros(batch.num_rows)
             empty = np.ones(batch.num_rows, dtype=bool)
             for i, j, counts, words, tails, shapes in _features(batch.column(1)):
-                total = np.concatenate([[0], np.cumsum(model.words[words] + model.words[WORDS + tails])])
-                ends = np.cumsum(counts)
-                mean = (total[ends] - total[ends - counts]) / np.maximum(2 * counts, 1)
-                p_text[i:j] = _sigmoid(np.column_stack([mean, shapes, np.ones(j - i)]) @ model.text)
+                p_text[i:j] = _text_view(model.words, model.text, counts, words, tails, shapes)
                 empty[i:j] = counts == 0
             meta = np.asarray(batch.column(2).flatten()).reshape(batch.num_rows, -1)
-            p_meta = _sigmoid(np.column_stack([model.meta[meta].mean(axis=1), np.ones(len(meta))]) @ model.meta_fit)
+            p_meta = _meta_view(model.meta, model.meta_fit, meta)
             score = _sigmoid(np.column_stack([_logit(p_text), _logit(p_meta), np.ones(len(meta))]) @ model.joint)
             score[empty] = 0
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.round(x, 9)) for x in (p_text, p_meta, score)]], ["doc_id", "p_text", "p_meta", "score"])

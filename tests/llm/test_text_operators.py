@@ -352,3 +352,16 @@ def test_license_chains_take_later_places_of_a_run(spark):
     assert [(s.first_word, s.last_word, s.coverage) for s in found[1]] == [(0, 21, 20 / 24)]
     assert [(s.first_word, s.last_word, s.coverage) for s in found[2]] == [(0, 23, 1.0)]
     assert {(s.first_word, s.last_word, s.coverage) for s in found[3]} == {(0, 23, 1.0), (54, 57, 4 / 24)}
+
+
+def test_quality_counts_the_whole_unlabelled_corpus(spark):
+    """Confident documents teach wherever they stand; those of the sample do not teach twice."""
+    docs = table(spark, [(i, "alpha beta", "en", "s1" if i % 2 else "s2", 100) for i in range(9000)] + [(None, "alpha", "en", "s1", 100)], DOCS)
+    sure = np.zeros(op04_quality.META)
+    place = docs.select(op04_quality.meta_buckets(docs.lang, docs.source, docs.n_chars)[1].alias("k"), "source").distinct().collect()
+    for x in place:
+        sure[x.k] = 300 if x.source == "s1" else -300
+    flat = (np.zeros(op04_quality.WORDS + op04_quality.TAILS), np.zeros(op04_quality.SHAPES + 2), sure, np.array([1.0, 0.0]))
+    bad, good = op04_quality._pseudo(op04_quality._prepared(docs), [flat], np.arange(10), 0.97)
+    assert good[: op04_quality.WORDS].sum() == 2 * (4500 - 5) + 1 and bad[: op04_quality.WORDS].sum() == 2 * (4500 - 5)
+    assert not good[op04_quality.WORDS + op04_quality.TAILS :].any()
