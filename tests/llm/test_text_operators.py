@@ -89,8 +89,8 @@ def brute_components(texts):
 def test_near_duplicates_equal_brute_force(spark, texts):
     sizes, roots = brute_components(texts)
     docs = table(spark, list(enumerate(texts))).withColumns({"node": F.lit(1), "minima": F.lit("x")}).repartition(3)
-    for block in (512, 8):  # small blocks send every group through block pairs
-        rows = {r.doc_id: r for r in op08_minhash.near_duplicates(docs, block=block).collect()}
+    for block, left in ((8192, 64), (8, 10**9), (8192, 0)):  # the usual way; many small blocks at once; rounds of stars as long as they help
+        rows = {r.doc_id: r for r in op08_minhash.near_duplicates(docs, block=block, left=left).collect()}
         assert len(rows) == len(texts)
         for i in range(len(texts)):
             assert (rows[i].n_shingles, rows[i].component_id, rows[i].kept) == (sizes[i], roots[i], roots[i] == i)
@@ -103,6 +103,41 @@ def test_near_duplicates_of_nothing_and_null_ids(spark):
     assert [(r.component_id, r.kept) for r in rows if r.doc_id is None] == [(None, True)]
 
 
+def test_texts_of_one_id_are_one_document(spark):
+    texts = {c: " ".join(f"{c}{k}" for k in range(40)) for c in "abcd"}
+    near = texts["b"].replace("b39", "other")
+    rows = [(1, texts["a"]), (5, texts["a"]), (5, texts["b"]), (6, near), (7, texts["c"]), (7, None), (7, texts["c"]), (8, texts["d"]), (None, texts["a"]), (9, ""), (9, "")]
+    found = op08_minhash.near_duplicates(table(spark, rows)).collect()
+    expected = [(1, 36, 1, True), (5, 36, 1, False), (5, 36, 1, False), (6, 36, 1, False), (7, 36, 7, True), (7, 0, 7, True), (7, 36, 7, True), (8, 36, 8, True), (None, 36, None, True), (9, 0, 9, True), (9, 0, 9, True)]
+    assert Counter(map(tuple, found)) == Counter(expected)
+
+
+def test_rows_for_groups_grow_with_the_group(spark, monkeypatch):
+    """Copies of one text that are near to it but mostly not to one another: twice the group, twice the rows that meet."""
+    r = random.Random(5)
+    base = [f"w{r.randrange(3000)}" for _ in range(120)]
+    texts = []
+    for _ in range(400):
+        copy = list(base)
+        for k in r.sample(range(120), r.randint(2, 5)):
+            copy[k] = f"v{r.randrange(3000)}"
+        texts.append(" ".join(copy))
+    dealt, met = op08_minhash._in_blocks, []
+
+    def counted(members, *a):
+        met.append(dealt(members, *a).count())
+        return dealt(members, *a)
+
+    monkeypatch.setattr(op08_minhash, "_in_blocks", counted)
+    rows = []
+    for n in (200, 400):
+        met.clear()
+        found = {x.doc_id: x.component_id for x in op08_minhash.near_duplicates(table(spark, list(enumerate(texts[:n])))).collect()}
+        assert [found[i] for i in range(n)] == brute_components(texts[:n])[1]
+        rows.append(sum(met))
+    assert rows[0] and rows[1] <= 2.5 * rows[0]
+
+
 def test_pruning_bound_is_the_posterior():
     r = np.random.default_rng(1)
     chance = lambda m, n: (r.beta(m + 1, n - m + 1, 400_000) >= 0.75).mean()
