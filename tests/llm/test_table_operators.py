@@ -5,6 +5,7 @@ from collections import Counter
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,9 +59,9 @@ def brute_topk(rows, k):
 
     ok = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, v in ok:
+    for row, (q, v) in enumerate(ok):
         if q % 20 == 0:
-            best = sorted(((-sum(a * b for a, b in zip(v, w)), i) for i, w in ok if i != q and len(v) == len(w)))[:k]
+            best = sorted(((-sum(a * b for a, b in zip(v, w)), i) for other, (i, w) in enumerate(ok) if other != row and len(v) == len(w)))[:k]
             out += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
     return Counter(out)
 
@@ -73,11 +74,39 @@ def test_topk_equals_brute_force(spark, dense):
     rows += [(i + 2000, rows[0][1]) for i in range(60)] + [(20, rows[20][1])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     exact = [(x.vec_id, x.embedding) for x in table.collect()]
-    found = op06_topk.search(table.withColumn("score", F.lit(1)), lambda v: v % 20 == 0, k=7, shard_rows=100, block_rows=8).collect()
+    found = op06_topk.search(table.withColumn("score", F.lit(1)), lambda v: v % 20 == 0, k=7, shard_rows=100).collect()
     assert Counter((x.query_id, x.rank, x.vec_id, x.score) for x in found) == brute_topk(exact, 7)
     assert op06_topk.search(table.limit(0), lambda v: v % 20 == 0).count() == 0
 
 
+def test_topk_of_large_components_is_exact(spark):
+    """Products beyond 2**24 and 2**53 leave the faster types; what may not fit 62 bits is an error."""
+    r = random.Random(7)
+    for size in (100.0, 1e5, 1e7):
+        rows = [(i, [float(r.randint(-1000, 1000)) * size / 1000 for _ in range(5)]) for i in range(120)]
+        table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        found = op06_topk.search(table, lambda v: v % 20 == 0, k=9).collect()
+        assert Counter((x.query_id, x.rank, x.vec_id, x.score) for x in found) == brute_topk(rows, 9)
+    huge = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="62 bits|64 bits"):
+        op06_topk.search(huge, lambda v: v % 20 == 0).collect()
+
+
+@pytest.mark.parametrize("share", [1.0, 0.1])
+def test_topk_leaves_postings_untouched(share):
+    r = np.random.default_rng(3)
+    x = np.floor(64 * r.normal(0, 0.125, (20_000, 64))) * (r.random((20_000, 64)) < share)
+    shard = op06_topk.Shard(x, np.arange(len(x)), np.arange(len(x)))
+    for row in range(0, 400, 20):
+        score, ids = shard.search(x[row], row, 20)
+        full = (x @ x[row]).astype(np.int64)
+        full[row] = -(2**62)
+        top = np.lexsort((np.arange(len(x)), -full))[:20]
+        assert (ids == top).all() and (score == full[top]).all()
+    postings = sum(int((x[:, x[row] != 0] != 0).sum()) for row in range(0, 400, 20))
+    assert shard.touched < 0.75 * postings and shard.touched + shard.probed < 0.95 * 20 * x.size
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
