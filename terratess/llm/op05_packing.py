@@ -3,7 +3,8 @@
 Each task packs its own rows in their order, so no shuffle is needed. Texts are
 cut into chunks of white space and what follows it: the tokenizer never joins
 tokens across such a cut, so each distinct chunk is tokenised once and its ids
-are looked up after that. The token stream of a task is then packed in runs of
+are looked up after that. Strings of the tokenizer's special tokens are chunks of
+their own and become these tokens, as in a plain call. The token stream of a task is then packed in runs of
 about ``RUN`` tokens: allowed cuts are ends of documents and sentences (in longer
 sentences also every 256 tokens), and the program chooses windows of at most
 ``window`` tokens that minimise padding, the cost of a sequence and penalties for
@@ -18,6 +19,7 @@ padded and are looked up directly.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -55,7 +57,11 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(x.lstrip or x.rstrip or x.single_word or re.search(r"\s", x.content) for x in added):
+            raise ValueError("added tokens that take in what stands beside them are not supported")
+        longest = sorted((x.content.encode() for x in added), key=len, reverse=True)
+        self.added = re.compile(b"|".join(map(re.escape, longest))) if longest else None
         self.forget()
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -103,12 +109,29 @@ class ChunkTokenizer:
         where[order] = np.cumsum(lens[order], dtype=np.int64) - lens[order]
         return np.concatenate(flat), lens, where
 
+    def _added_spans(self, buf: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Where strings of added tokens stand within rows: the tokenizer takes them out before it splits the rest."""
+        if self.added is None:
+            return
+        data, at = buf.tobytes(), 0
+        while m := self.added.search(data, at):
+            end = int(ends[np.searchsorted(ends, m.start(), side="right")])  # of its row
+            if m.end() > end:
+                m = self.added.search(data, m.start(), end)  # a shorter one may fit
+            if m:
+                yield m.span()
+            at = m.end() if m else end
+
     def encode(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows ``buf[starts[i]:ends[i]]`` in order, and each row's number of ids."""
         if not len(buf):
             return np.zeros(0, dtype=np.int32), np.zeros(len(starts), dtype=np.int64)
         cut = chunk_starts(buf)
         cut[starts[ends > starts]] = True
+        for a, b in self._added_spans(buf, ends):
+            cut[a] = True
+            if b < len(buf):
+                cut[b] = True
         s = np.flatnonzero(cut)
         e = np.append(s[1:], len(buf))
         h = span_hashes(buf, s, e)

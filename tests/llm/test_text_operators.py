@@ -175,8 +175,10 @@ def test_packing_round_trip(spark, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(op05_packing.tokenizer_file())
-    t.encode_special_tokens = True
-    docs = [*texts, "<|endoftext|> a", "word" * 30_000, "a  b \u0085 c\u3000 d", "\n\n x"]
+    end = "<|endoftext|>"
+    docs = [*texts, "word" * 30_000, "a  b \u0085 c\u3000 d", "\n\n x"]
+    docs += [f"{end} a", f"x  {end}a  b", end * 3, f" {end} \n{end}\n", "tail <|endof", "text|> head", f"<|{end}|> {end[:-1]}", f"\u00e9{end}\u3000{end} ."]
+    docs += [("word " * 400 + f"{end}x y{end} \n") * 1600]  # longer than a group, so that chunks end beside such strings
     expected = [[*x.ids, 0] for x in t.encode_batch([x or "" for x in docs], add_special_tokens=False)]
     rows = op05_packing.pack(table(spark, list(enumerate(docs))).repartition(2)).collect()
     pieces, sequences = defaultdict(list), defaultdict(list)
