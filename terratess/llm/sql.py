@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from terratess.llm.op02_urlfilter import BLOCKED_HOSTS
-from terratess.llm.op03_mixing import SEED
+from terratess.llm.op03_mixing import SEED, SEEDS
 from terratess.llm.op09_rules import STOP_WORDS
 
 _OWN = " OR ".join(f"'.' || host LIKE '%.{h}'" for h in BLOCKED_HOSTS)
@@ -27,7 +27,8 @@ FROM parts p LEFT JOIN best b USING (row)
 
 OP3 = rf"""
 WITH sized AS (
-    SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+    SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+        md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS digest FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (
     SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER] AS weight, source_size * 3 AS cap FROM per),
@@ -41,11 +42,18 @@ marked AS (
 shared AS (SELECT arg_min(level, (cap::DOUBLE / weight, source)) FILTER (NOT capped) AS level FROM marked),
 aims AS (
     SELECT m.source, m.source_size, CASE WHEN m.capped THEN m.cap::DOUBLE ELSE s.level * m.weight END AS target FROM marked m, shared s),
-rated AS (
-    SELECT d.doc_id, d.size, a.source_size, a.target, coalesce(a.target / nullif(a.source_size, 0)::DOUBLE, 0) AS rate,
-        ('0x' || left(md5('{SEED}:' || coalesce(d.doc_id::VARCHAR, 'null')), 13))::BIGINT / 4503599627370496.0::DOUBLE AS chance
-    FROM sized d JOIN aims a ON d.source IS NOT DISTINCT FROM a.source)
-SELECT doc_id, size, source_size, target, (size * (floor(rate)::BIGINT + (chance < rate - floor(rate))::BIGINT))::BIGINT AS taken FROM rated
+drawn AS (
+    SELECT d.*, a.source AS own, a.source_size, a.target, coalesce(a.target / nullif(a.source_size, 0)::DOUBLE, 0) AS rate
+    FROM sized d JOIN aims a ON d.source IS NOT DISTINCT FROM a.source),
+tried AS (
+    SELECT *, k, (('0x' || substr(digest, k + 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < rate - floor(rate))::BIGINT AS one
+    FROM drawn, range({SEEDS}) AS seeds(k)),
+nearest AS (
+    SELECT own, arg_min(k, (far, k)) AS k FROM (
+        SELECT own, k, abs((floor(any_value(rate))::BIGINT * any_value(source_size) + sum(size * one))::DOUBLE - any_value(target)) AS far FROM tried GROUP BY own, k)
+    GROUP BY own)
+SELECT doc_id, size, source_size, target, (size * (floor(rate)::BIGINT + one))::BIGINT AS taken
+FROM tried t JOIN nearest n ON t.own IS NOT DISTINCT FROM n.own AND t.k = n.k
 """
 
 OP6 = r"""
