@@ -9,9 +9,12 @@ in the template, into covered spans.
 
 from __future__ import annotations
 
+import pkgutil
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -23,23 +26,15 @@ from terratess.llm.textbytes import ALNUM, hashed_words
 #: Phrases that decide a label by themselves.
 PHRASES = (("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license"))
 
-#: Notices and openings of public licences.
-TEMPLATES = (
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
-    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
-    ("apache", "licensed under the apache license version 2 0"),
-    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
-    ("lgpl", "licensed under the gnu lesser general public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-nc", "licensed under the creative commons attribution noncommercial 4 0 international license"),
-    ("cc-by", "licensed under the creative commons attribution 4 0 international license"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-)
+
+def _templates() -> tuple[tuple[str, str], ...]:
+    """Labels and texts of ``data/licences.txt``."""
+    blocks = pkgutil.get_data(__package__, "data/licences.txt").decode().split("\n== ")[1:]
+    return tuple((label.strip(), text.strip()) for label, _, text in (x.partition("\n") for x in blocks))
+
+
+#: Whole texts of short licences, and the notices that longer ones ask files to carry.
+TEMPLATES = _templates()
 
 #: Shortest match that a chain may hold, the widest gap in it (words, in file and template), and the share of a template that gives its label.
 LEAST_MATCH, GAP, COVER = 4, 8, 0.75
@@ -114,6 +109,38 @@ def _numbered(texts: tuple[str, ...]) -> tuple[np.ndarray, list[list[int]]]:
     return known, [x.tolist() for x in np.split(numbers, np.cumsum(counts)[:-1])]
 
 
+class Cover:
+    """Intervals, asked whether one of them holds another; a tree of the farthest ends by first word."""
+
+    def __init__(self, firsts):
+        self.firsts = sorted(set(firsts))
+        self.far = [-1] * (len(self.firsts) + 1)
+
+    def holds(self, first: int, last: int) -> bool:
+        i = bisect_right(self.firsts, first)
+        while i:
+            if self.far[i] >= last:
+                return True
+            i -= i & -i
+        return False
+
+    def add(self, first: int, last: int) -> None:
+        i = bisect_right(self.firsts, first)
+        while i < len(self.far):
+            self.far[i] = max(self.far[i], last)
+            i += i & -i
+
+
+def outermost(chains: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Chains (first, last, words), better ones first, without those inside a better one; in the order of their places."""
+    kept, out = Cover(x[0] for x in chains), []
+    for x in chains:
+        if not kept.holds(x[0], x[1]):
+            kept.add(x[0], x[1])
+            out.append(x)
+    return sorted(out)
+
+
 class Scanner:
     def __init__(self, phrases=PHRASES, templates=TEMPLATES):
         texts = tuple(t for _, t in templates) + tuple(p for _, p in phrases)
@@ -218,12 +245,17 @@ class Scanner:
                     first, c = c, before[c]
                 chains.append((found[first][0], found[m][0] + found[m][2] - 1, covered[m] - (covered[c] if c >= 0 else 0)))
             # a weaker chain inside a better one is the same place again
-            kept: list[tuple[int, int, int]] = []
-            for x in chains:
-                if not any(y[0] <= x[0] and x[1] <= y[1] for y in kept):
-                    kept.append(x)
-            out += [(k, a, b, min(1.0, words / self.sizes[k])) for a, b, words in sorted(kept)]
-        return out
+            out += [(k, a, b, words) for a, b, words in outermost(chains)]
+        # wording that licences share belongs to the one that a place holds most of
+        wide = [x for x in sorted(out, key=lambda x: -x[3]) if x[3] >= COVER * self.sizes[x[0]]]
+        kept = Cover(x[1] for x in out)
+        inside = set()
+        for words, group in groupby(wide, key=lambda x: x[3]):
+            same = list(group)
+            inside.update(x for x in same if kept.holds(x[1], x[2]))
+            for x in same:
+                kept.add(x[1], x[2])
+        return [(k, a, b, min(1.0, words / self.sizes[k])) for k, a, b, words in out if (k, a, b, words) not in inside]
 
 
 @lru_cache(maxsize=2)
