@@ -3,19 +3,23 @@
 Two views of a document, its text and its page metadata, have a classifier each:
 naive Bayes evidence, averaged over what the view holds, under a small calibrated
 logistic model. In every round each view labels the documents of the whole corpus
-of which it is confident, and these teach the other view. The calibrated
-views are then combined on labelled rows that neither was taught with, and every
-document is scored.
-
-Labels come from a bounded sample (``LABELLED`` documents, half of them of either
-kind at most, chosen by a hash of the id), whose features, not texts, go to the
-driver. The kinds' shares among all labels are put back into the calibration.
+of which it is confident, and these teach the other view. A view is confident of a
+kind if it says so with ``SURE`` and its own evidence, without the kinds' shares,
+speaks for it by ``CONFIDENT``; one that only knows the shares never is. The
+calibrated views are then combined on labelled rows that neither was taught with, and
+every document is scored. ``Model.exchanged`` counts the labels that were handed over.
+
+Labels come from a bounded sample (``LABELLED`` documents and ``ENTRIES`` bucket
+counts, half of them of either kind at most, chosen by a hash of the id), whose
+features, not texts, go to the driver. Of rows of one id the text of the least hash
+teaches. The kinds' shares among all labels are put back into the calibration.
 Everything else runs over all rows: labelled documents outside the sample count as
 unlabelled, and of confident ones distributed counts by bucket reach the driver.
 """
 
 from __future__ import annotations
 
+import logging
 import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,17 +33,24 @@ from pyspark.sql import functions as F
 from terratess.llm.textbytes import SPACED, hashed_words
 from terratess.staging import release, stage
 
+log = logging.getLogger(__name__)
+
 LABELLED = 4000
+#: Bucket counts of the sample that the driver holds; a document has at most WORDS + TAILS.
+ENTRIES = 4_000_000
 ROUNDS = 3
 #: Labelled documents of either kind without which nothing is learned: two teach, one calibrates.
 LEAST = 3
-CONFIDENT = 0.97
+#: A view's probability of a kind were both equally common, and as common as they are, from which on it hands a label over.
+CONFIDENT, SURE = 0.9, 0.9
 #: Documents score at least this to be kept.
 KEEP = 0.5
 WORDS, TAILS = 1 << 13, 1 << 11
 SHAPES = 6
-META = 1 << 12
+META = 1 << 13
 LOWEST = 1e-6
+#: Buckets of both views; counts have two places more, for the documents that text and metadata hand over.
+_ALL = WORDS + TAILS + META
 
 
 def _shapes(first, last, before, size, hashes, counts) -> np.ndarray:
@@ -78,8 +89,11 @@ def _features(column: pa.Array) -> Iterator[tuple]:
         yield i, j, counts, words, tails, _shapes(first, last, before, size, h, counts)
 
 
+_SAMPLED = "id long, y int, digest long, meta array<int>, buckets array<smallint>, counts array<int>, shapes array<double>"
+
+
 def _sampled(batches) -> Iterator[pa.RecordBatch]:
-    """Per document the counts of its buckets and its shapes."""
+    """Per document (id, text, y, digest, meta) the counts of its buckets and its shapes."""
     for batch in batches:
         buckets, counted, shapes = [], [], []
         for i, j, counts, words, tails, shape in _features(batch.column(1)):
@@ -91,7 +105,7 @@ def _sampled(batches) -> Iterator[pa.RecordBatch]:
                 counted.append(c.astype(np.int32))
                 shapes.append(shape[k])
                 at += n
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(buckets, pa.list_(pa.int16())), pa.array(counted, pa.list_(pa.int32())), pa.array(shapes, pa.list_(pa.float64()))], ["id", "buckets", "counts", "shapes"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(c) for c in ("y", "digest", "meta")), pa.array(buckets, pa.list_(pa.int16())), pa.array(counted, pa.list_(pa.int32())), pa.array(shapes, pa.list_(pa.float64()))], ["id", "y", "digest", "meta", "buckets", "counts", "shapes"])
 
 
 def _logit(p: np.ndarray) -> np.ndarray:
@@ -137,6 +151,8 @@ class Model:
     meta: np.ndarray
     meta_fit: np.ndarray
     joint: np.ndarray
+    #: Of each round the documents that (text, metadata) called (bad, good) for the other view.
+    exchanged: tuple = ()
 
 
 class _View:
@@ -161,9 +177,12 @@ class _View:
 
 
 def meta_buckets(lang, source, n_chars) -> list:
-    """Bucket columns of the metadata view; nulls are values of their own."""
-    at = lambda name, c: F.pmod(F.xxhash64(F.lit(name), F.coalesce(c.cast("string"), F.lit("\0null"))), F.lit(META)).cast("int")
-    return [at("lang", lang), at("source", source), at("size", F.floor(F.log2(F.greatest(n_chars, F.lit(0)) + 1)))]
+    """Bucket columns of the metadata view: each field, finer sizes and pairs of fields; nulls are values of their own."""
+    word = lambda c: F.coalesce(c.cast("string"), F.lit("\0null"))
+    at = lambda name, *c: F.pmod(F.xxhash64(F.lit(name), *map(word, c)), F.lit(META)).cast("int")
+    size = F.log2(F.greatest(n_chars, F.lit(0)) + 1)
+    wide = F.floor(size)
+    return [at("lang", lang), at("source", source), at("size", wide), at("finer", F.floor(4 * size)), at("lang, source", lang, source), at("source, size", source, wide), at("lang, size", lang, wide)]
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
@@ -178,7 +197,7 @@ def _chosen(ids: DataFrame, most: int, seed: int) -> DataFrame:
     return best.select(*[F.col(f"x.{c}").alias(c) for c in ids.columns])
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, confident: float = CONFIDENT) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, confident: float = CONFIDENT, entries: int = ENTRIES) -> Model | None:
     """Fits the views; none, with a warning, if fewer than ``LEAST`` labelled documents of either kind were found.
 
     ``labels (doc_id, quality)``: repeated labels of a document vote (ties: good); null ids and labels are ignored.
@@ -194,24 +213,27 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds:
     kinds = [known.where(F.col("y") == k) for k in (0, 1)]
     bad, good = (kind if total[k] <= labelled // 2 else _chosen(kind, labelled // 2, 1) for k, kind in enumerate(kinds))
     wanted = F.broadcast(bad.unionByName(good))  # at most `labelled` rows
-    rows = prepared.join(wanted, "id")
-    features = rows.select("id", "text").mapInArrow(_sampled, "id long, buckets array<smallint>, counts array<int>, shapes array<double>")
-    # the metadata of the sample stands beside its features by id
-    table = features.toArrow()
-    side = rows.select("id", "meta", "y").toArrow()
+    rows = prepared.join(wanted, "id").select("id", "text", "y", F.xxhash64("text").alias("digest"), "meta")
+    features = stage(rows.mapInArrow(_sampled, _SAMPLED), "features")
     release(known)
-    order = np.argsort(np.asarray(table["id"]), kind="stable")
-    table = table.take(order)
+    # one text of each id, and as many ids as the bound on entries allows
+    one = features.groupBy("id").agg(F.min(F.struct("digest", F.size("buckets").alias("n"), "y")).alias("x")).select("id", "x.*", F.xxhash64("id", F.lit(1)).alias("h")).collect()
+    held, taken = {0: 0, 1: 0}, []
+    for r in sorted(one, key=lambda r: (r["h"], r["id"])):
+        held[r["y"]] += r["n"]
+        if held[r["y"]] <= entries // 2 or sum(t["y"] == r["y"] for t in taken) < LEAST:
+            taken.append(r)
+    picked = F.broadcast(features.sparkSession.createDataFrame([(r["id"], r["digest"]) for r in taken], "id long, digest long"))
+    table = features.join(picked, ["id", "digest"], "left_semi").dropDuplicates(["id"]).toArrow()
+    release(features)
+    table = table.take(np.argsort(np.asarray(table["id"]), kind="stable"))
     ids = np.asarray(table["id"])
-    keep = np.ones(len(ids), dtype=bool)
-    keep[1:] = ids[1:] != ids[:-1]  # a repeated row teaches once
-    table, ids = table.filter(pa.array(keep)), ids[keep]
-    sides = {i: (m, y) for i, m, y in zip(side["id"].to_pylist(), side["meta"].to_pylist(), side["y"].to_pylist())}
     n = len(ids)
-    y = np.array([sides[i][1] for i in ids.tolist()], dtype=np.int64)
+    y = np.asarray(table["y"]).astype(np.int64)
+    flat = lambda c: np.asarray(table[c].combine_chunks().flatten())
     size = np.array([len(x) for x in table["buckets"]])
-    text = _View(np.concatenate([np.asarray(x.values) for x in table["buckets"]]).astype(np.int64), np.concatenate([np.asarray(x.values) for x in table["counts"]]).astype(np.float64), np.repeat(np.arange(n), size), n, WORDS + TAILS, np.array(table["shapes"].to_pylist()))
-    columns = np.array([sides[i][0] for i in ids.tolist()])
+    text = _View(flat("buckets").astype(np.int64), flat("counts").astype(np.float64), np.repeat(np.arange(n), size), n, WORDS + TAILS, flat("shapes").reshape(n, SHAPES))
+    columns = flat("meta").reshape(n, -1)
     meta = _View(columns.ravel(), np.ones(columns.size), np.repeat(np.arange(n), columns.shape[1]), n, META, np.zeros((n, 0)))
     measured = np.zeros(n, dtype=bool)
     for k in (0, 1):
@@ -219,17 +241,28 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds:
     # odds of the kinds among all labels against those among the measured rows
     shift = float(np.log(total[1] / total[0]) - np.log((y[measured] == 1).sum() / (y[measured] == 0).sum()))
     past: list[tuple] = []
-    more = np.zeros((2, WORDS + TAILS + META))
+    exchanged = []
+    more = np.zeros((2, _ALL))
     p_text = p_meta = np.zeros(0)
+    bounds = sure(total[1] / (total[0] + total[1]), confident)
     for turn in range(rounds + 1):
         p_text = text.fit(y, ~measured, measured, shift, more[:, : WORDS + TAILS])
         p_meta = meta.fit(y, ~measured, measured, shift, more[:, WORDS + TAILS :])
         if turn < rounds:
             past.append((text.weights, text.w, meta.weights, meta.w))
-            more = _pseudo(prepared, past, ids, confident)
+            more, handed = _pseudo(prepared, past, ids, bounds)
+            exchanged.append(handed)
+            log.info("round %d: %s", turn, handed)
     joint = _logistic(np.column_stack([_logit(p_text), _logit(p_meta)])[measured], y[measured], ridge=0.1)
     joint[-1] += shift
-    return Model(text.weights, text.w, meta.weights, meta.w, joint)
+    return Model(text.weights, text.w, meta.weights, meta.w, joint, tuple(exchanged))
+
+
+def sure(good: float, confident: float = CONFIDENT) -> tuple[float, float]:
+    """The probabilities of good at or below which a view hands over bad, and from which on it hands over good, where ``good`` is the share of good ones."""
+    lift, base = float(_logit(np.array(confident))), float(_logit(np.array(good)))
+    enough = float(_logit(np.array(SURE)))
+    return float(_sigmoid(np.array(min(base - lift, -enough)))), float(_sigmoid(np.array(max(base + lift, enough))))
 
 
 def _text_view(weights: np.ndarray, fit: np.ndarray, counts, words, tails, shapes) -> np.ndarray:
@@ -243,17 +276,18 @@ def _meta_view(weights: np.ndarray, fit: np.ndarray, meta: np.ndarray) -> np.nda
     return _sigmoid(np.column_stack([weights[meta].mean(axis=1), np.ones(len(meta))]) @ fit)
 
 
-def _taught(past: list[tuple], sampled: np.ndarray, confident: float):
+def _taught(past: list[tuple], sampled: np.ndarray, bounds: tuple[float, float]):
     """Per bucket the counts in documents that the other view is confident of; a later round's word goes before an earlier one's."""
+    low, high = bounds
 
     def label(found: list[np.ndarray], out: np.ndarray) -> np.ndarray:
         for p in found:
-            out[p >= confident] = 1
-            out[p <= 1 - confident] = 0
+            out[p >= high] = 1
+            out[p <= low] = 0
         return out
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        more = np.zeros((2, WORDS + TAILS + META), dtype=np.int64)
+        more = np.zeros((2, _ALL + 2), dtype=np.int64)
         known = pa.array(sampled, pa.int64())
         for batch in batches:
             free = ~np.asarray(pc.is_in(batch.column(0), value_set=known))
@@ -270,21 +304,23 @@ def _taught(past: list[tuple], sampled: np.ndarray, confident: float):
                     more[k, WORDS : WORDS + TAILS] += np.bincount(tails[use], minlength=TAILS)
             by_text[~free] = -1
             for k in (0, 1):
-                more[k, WORDS + TAILS :] += np.bincount(meta[by_text == k].ravel(), minlength=META)
+                more[k, WORDS + TAILS : _ALL] += np.bincount(meta[by_text == k].ravel(), minlength=META)
+                more[k, _ALL :] += [(by_text == k).sum(), (by_meta == k).sum()]
         at = np.flatnonzero(more.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(more[0, at]), pa.array(more[1, at])], ["bucket", "bad", "good"])
 
     return run
 
 
-def _pseudo(prepared: DataFrame, past: list[tuple], sampled: np.ndarray, confident: float) -> np.ndarray:
-    """Counts (bad, good) of the text's and the metadata's buckets over all documents outside the sample; a row per bucket reaches the driver."""
-    counts = prepared.mapInArrow(_taught(past, sampled, confident), "bucket int, bad long, good long")
+def _pseudo(prepared: DataFrame, past: list[tuple], sampled: np.ndarray, bounds: tuple[float, float]) -> tuple[np.ndarray, dict]:
+    """Counts (bad, good) of the text's and the metadata's buckets over all documents outside the sample, and how many documents each view handed over; a row per bucket reaches the driver."""
+    counts = prepared.mapInArrow(_taught(past, sampled, bounds), "bucket int, bad long, good long")
     found = counts.groupBy("bucket").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toArrow()
-    more = np.zeros((2, WORDS + TAILS + META))
+    more = np.zeros((2, _ALL + 2))
     for k, kind in enumerate(("bad", "good")):
         more[k, np.asarray(found["bucket"], dtype=np.int64)] = np.asarray(found[kind])
-    return more
+    handed = {view: tuple(more[:, _ALL + v].astype(int).tolist()) for v, view in enumerate(("text", "metadata"))}
+    return more[:, :_ALL], handed
 
 
 def _scored(model: Model):

@@ -551,6 +551,73 @@ def test_quality_counts_the_whole_unlabelled_corpus(spark):
     for x in place:
         sure[x.k] = 300 if x.source == "s1" else -300
     flat = (np.zeros(op04_quality.WORDS + op04_quality.TAILS), np.zeros(op04_quality.SHAPES + 2), sure, np.array([1.0, 0.0]))
-    bad, good = op04_quality._pseudo(op04_quality._prepared(docs), [flat], np.arange(10), 0.97)
+    (bad, good), handed = op04_quality._pseudo(op04_quality._prepared(docs), [flat], np.arange(10), (0.03, 0.97))
+    assert handed == {"text": (0, 0), "metadata": (4495, 4496)}
     assert good[: op04_quality.WORDS].sum() == 2 * (4500 - 5) + 1 and bad[: op04_quality.WORDS].sum() == 2 * (4500 - 5)
     assert not good[op04_quality.WORDS + op04_quality.TAILS :].any()
+
+
+def test_views_teach_each_other(spark):
+    """New words reach the text view through sources that labels know, new sources reach the metadata view through words that labels know."""
+    r = random.Random(14)
+    some = lambda c, n=60: " ".join(f"{c}{r.randrange(n):02}x" for _ in range(30))
+    rows, labels, truth = [], [], {}
+    for i in range(6000):
+        y = int(r.random() < 0.6)
+        if i < 1200:  # labelled: known words, known sources
+            row = (some("g" if y else "b"), f"s{y}")
+            labels.append((i, y, 0))
+        elif i < 3000:  # new words under known sources
+            row = (some("ng" if y else "nb"), f"s{y}")
+        elif i < 4800:  # known words under new sources
+            row = (some("g" if y else "b"), f"t{y}")
+        else:  # only one view can tell, by what the other has taught it
+            row = (some("ng" if y else "nb"), "u") if i % 2 else (some("x"), f"t{y}")
+            truth[i] = y
+        rows.append((i, row[0], "en", row[1], 100))
+    docs, known = table(spark, rows, DOCS), table(spark, labels, "doc_id long, quality int, toxic int")
+
+    def right(rounds):
+        model = op04_quality.train(docs, known, rounds=rounds)
+        found = {x.doc_id: x.kept for x in op04_quality.score(docs, model).collect()}
+        return model, *(np.mean([found[i] == bool(y) for i, y in truth.items() if i % 2 == odd]) for odd in (0, 1))
+
+    alone, by_source, by_words = right(0)
+    model, source_after, words_after = right(3)
+    assert alone.exchanged == () and len(model.exchanged) == 3
+    assert all(min(x["text"]) > 500 and min(x["metadata"]) > 500 for x in model.exchanged)
+    assert source_after > 0.99 and words_after > 0.99 and by_source < 0.8 and by_words < 0.8
+
+
+def test_scores_equal_brute_force(spark, texts):
+    """The views and their combination, document by document in plain Python."""
+    r = random.Random(15)
+    words, tails, meta_size = op04_quality.WORDS, op04_quality.TAILS, op04_quality.META
+    draw = lambda n, scale: np.array([r.gauss(0, scale) for _ in range(n)])
+    model = op04_quality.Model(draw(words + tails, 2), draw(op04_quality.SHAPES + 2, 1), draw(meta_size, 2), draw(2, 1), draw(3, 1))
+    rows = [(i, t, r.choice(["en", "de", None]), r.choice(["s1", None]), r.choice([None, 0, 5, 10_000])) for i, t in enumerate([*texts[:60], "A b CD! e| - f"])]
+    docs = table(spark, rows, DOCS)
+    buckets = {x.doc_id: x.k for x in docs.select("doc_id", F.array(*op04_quality.meta_buckets(docs.lang, docs.source, docs.n_chars)).alias("k")).collect()}
+    found = {x.doc_id: x for x in op04_quality.score(docs, model).collect()}
+    logit = lambda p: np.log(np.clip(p, 1e-6, 1 - 1e-6) / (1 - np.clip(p, 1e-6, 1 - 1e-6)))
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    hashes = {}
+    for i, text, *_ in rows:
+        own = re.findall(SPACES, text or "")
+        evidence, capital, symbol, single = 0.0, 0, 0, 0
+        for w in own:
+            if w not in hashes:
+                hashes[w] = int(next(hashed_words(pa.array([w]), SPACED))[3][0])
+            b = w.encode()
+            last, before = b[-1], b[max(len(b) - 2, 0)]
+            evidence += model.text[0] * 0 + model.words[(hashes[w] >> 20) & (words - 1)] + model.words[words + ((last * 31 + before * 1021 + min(len(b), 2) * 7919) & (tails - 1))]
+            capital += b[:1].isupper() and bytes([before]).isupper()
+            symbol += (last < 0x30 and last not in b".,") or last == 0x7C
+            single += len(b) == 1
+        n = max(len(own), 1)
+        shape = [capital / n, symbol / n, single / n, len(set(own)) / n, sum(len(w.encode()) for w in own) / n / 10, np.log1p(len(own)) / 10]
+        p_text = sigmoid(np.dot([evidence / max(2 * len(own), 1), *shape, 1], model.text))
+        p_meta = sigmoid(np.dot([np.mean([model.meta[k] for k in buckets[i]]), 1], model.meta_fit))
+        score = sigmoid(np.dot([logit(p_text), logit(p_meta), 1], model.joint)) if own else 0.0
+        assert (found[i].p_meta, found[i].score) == (pytest.approx(p_meta, abs=1e-6), pytest.approx(score, abs=1e-6)) and found[i].kept == (found[i].score >= 0.5)
+        assert not own or found[i].p_text == pytest.approx(p_text, abs=1e-6)
