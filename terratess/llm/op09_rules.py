@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
+#: What is taken off either end of a word before it is looked up among the stop words.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Stop words in a hundred words, at least.
+LEAST_STOP = 3
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Frequent function words of four languages, lower case.
 STOP_WORDS = ("the of and to in is that it for with as was on are by this from at have not "
@@ -35,7 +40,7 @@ BASE = (Rule("words", "n_words", least=50 * 100), Rule("repeated_words", "n_repe
 RULES = (
     Rule("word_length", "word_chars", "n_words", least=200, most=2500),
     Rule("symbols", "n_symbols", "n_words", most=20),
-    Rule("stop_words", "n_stop_words", least=2 * 100),
+    Rule("stop_words", "n_stop_words", "n_words", least=LEAST_STOP),
     Rule("repeated_lines", "n_dup_lines", "n_lines", most=40),
 )
 
@@ -77,14 +82,14 @@ def statistics(text: Column) -> Column:
         t, words = pair["t"], pair["words"]
         lines = F.filter(F.split(t, "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
         by_line = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
-        stop = F.array(*[F.lit(w) for w in dict.fromkeys(STOP_WORDS)])
+        stop = F.filter(words, lambda w: F.translate(F.btrim(w, F.lit(MARKS)), _UPPER, _LOWER).isin(list(dict.fromkeys(STOP_WORDS))))
         return F.struct(
             F.size(words).cast("long").alias("n_words"),
             F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
             F.regexp_count(t, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
             by_line.alias("by_line"),
             repeated_words(words).cast("long").alias("n_repeat_words"),
-            F.size(F.array_intersect(words, stop)).cast("long").alias("n_stop_words"),
+            F.size(stop).cast("long").alias("n_stop_words"),
         )
 
     return let(F.coalesce(text, F.lit("")), lambda t: let(F.struct(t.alias("t"), words_of(t).alias("words")), of))

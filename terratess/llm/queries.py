@@ -21,7 +21,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))  # a null id has no remainder
     model = op01_langid.learn(docs.where(~held_out))
     found = op01_langid.identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out.alias("held_out"), F.col("best").alias("lang_pred"), "score", "rejected")

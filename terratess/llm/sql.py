@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from terratess.llm.op02_urlfilter import BLOCKED_HOSTS
 from terratess.llm.op03_mixing import SEED, SEEDS
-from terratess.llm.op09_rules import STOP_WORDS
+from terratess.llm.op09_rules import LEAST_STOP, MARKS, STOP_WORDS
 
 _OWN = " OR ".join(f"'.' || host LIKE '%.{h}'" for h in BLOCKED_HOSTS)
 
@@ -69,6 +69,8 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <=
 
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in dict.fromkeys(STOP_WORDS))
 
+_MARKS = MARKS.replace("'", "''")
+
 OP9 = rf"""
 WITH split AS (
     SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -82,13 +84,13 @@ stats AS (
     SELECT s.row, doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
         len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(c.n, 0) AS n_repeat_words,
         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
-        len(list_filter(list_distinct(w), lambda x: x IN ({_STOP})))::BIGINT AS n_stop_words
+        len(list_filter(w, lambda x: translate(trim(x, '{_MARKS}'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') IN ({_STOP})))::BIGINT AS n_stop_words
     FROM split s LEFT JOIN covered c ON s.row = c.row),
 counted AS (
     SELECT * EXCLUDE (row, lines), len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
         n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM stats)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    NOT base_failed AND word_chars BETWEEN 2 * n_words AND 25 * n_words AND 100 * n_symbols <= 20 * n_words AND n_stop_words >= 2 AND 100 * n_dup_lines <= 40 * n_lines AS kept,
+    NOT base_failed AND word_chars BETWEEN 2 * n_words AND 25 * n_words AND 100 * n_symbols <= 20 * n_words AND 100 * n_stop_words >= {LEAST_STOP} * n_words AND 100 * n_dup_lines <= 40 * n_lines AS kept,
     n_stop_words, n_lines
 FROM counted
 """

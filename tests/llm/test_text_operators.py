@@ -238,6 +238,34 @@ def test_language_by_compression(spark):
     assert [r.best for r in op01_langid.identify(table(spark, ask), {}).collect()] == ["und"] * 8
 
 
+def test_languages_equal_brute_force(spark, texts):
+    """Sizes by compressors of the test's own, text by text."""
+    import zstandard
+
+    r = random.Random(16)
+    words = {lang: ["".join(r.choice(letters) for _ in range(r.randint(1, 8))) for _ in range(150)] for lang, letters in (("aa", "abcdefgh"), ("bb", "hijklmnö"), ("cc", "opqrstuv"))}
+    rows = [(i, " ".join(r.choice(words[lang]) for _ in range(r.randint(3, 300))), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 60)]
+    model = op01_langid.learn(table(spark, rows, "doc_id long, text string, lang string"))
+    asked = [*texts[:70], *[t for _, t, _ in rows[:40]], " ".join(t for _, t, _ in rows[::3]).upper(), "12 - 34", "h"]
+    found = {x.doc_id: x for x in op01_langid.identify(table(spark, list(enumerate(asked))), model).collect()}
+    for i, text in enumerate(asked):
+        plain = regex.sub(r"[^\p{L}]+", " ", text or "").lower().encode()
+        if not plain.strip():
+            assert (found[i].best, found[i].score, found[i].rejected) == ("und", 0.0, True)
+            continue
+        level = op01_langid.SHORT_LEVEL if len(plain) < op01_langid.SHORT else op01_langid.LEVEL
+        sizes = []
+        for lang in sorted(model):
+            d = zstandard.ZstdCompressionDict(model[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=level)
+            c = zstandard.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
+            sizes.append(sum(len(c.compress(plain[a : a + op01_langid.PIECE])) for a in range(0, len(plain), op01_langid.PIECE)))
+        best = sizes.index(min(sizes))
+        lead = min(x for k, x in enumerate(sizes) if k != best) / sizes[best] - 1
+        assert (found[i].best, found[i].rejected) == (sorted(model)[best], lead < op01_langid.MARGIN) and found[i].score == pytest.approx(min(1.0, lead))
+    assert op01_langid.identify(table(spark, []), model).count() == 0 and op01_langid.learn(table(spark, [], "doc_id long, text string, lang string")) == {}
+
+
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
 
