@@ -7,7 +7,9 @@ executor, which a cached or locally checkpointed one does not.
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,8 +18,10 @@ _STAGED: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local default only where that is unset (tests)."""
+    """The folder in ``spark.checkpoint.dir``; a local default only where that is unset and all runs in one process, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (found or DEFAULT_DIR).rstrip("/")
 
 
@@ -56,13 +60,14 @@ def _release_all() -> None:
             return
 
 
-def put(spark: SparkSession, name: str, content: bytes) -> str:
-    """Writes a file of bounded size to the shared folder; returns its full path."""
+def put(spark: SparkSession, name: str, content: bytes | Iterable[bytes]) -> str:
+    """Writes a file of bounded size, whole or in parts, to the shared folder; returns its full path."""
     context = spark.sparkContext
     path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
     files = path.getFileSystem(context._jsc.hadoopConfiguration())
     out = files.create(path, True)
-    for at in range(0, len(content), 1 << 22):
-        out.write(bytearray(content[at : at + (1 << 22)]))
+    for part in [content] if isinstance(content, bytes) else content:
+        for at in range(0, len(part), 1 << 22):
+            out.write(bytearray(part[at : at + (1 << 22)]))
     out.close()
     return files.makeQualified(path).toString()
