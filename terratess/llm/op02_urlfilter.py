@@ -1,15 +1,18 @@
 """URL filters on a sorted digest array.
 
 Rules and block lists are keys ``host/path``: each key's 64-bit xxhash stands in
-one sorted array, its full string beside it. The array's file lies in the shared
-folder; Spark hands every executor a copy, which its workers memory-map. A url is
-looked up by vectorised binary search under every suffix of its host and every
-prefix of its path that has the length of some key's path; a hit counts only if
-the stored string is equal, so colliding digests do no harm.
+one sorted array, its full string beside it. Lists are tables of any source: Spark
+removes repeated keys, sorts them by digest and encodes them; the driver only passes
+the encoded chunks on to files in the shared folder, chunk by chunk. Spark hands
+every executor a copy, which its workers memory-map. A url is looked up by
+vectorised binary search under every suffix of its host and every prefix of its path
+that has the length of some key's path; a hit counts only if the stored string is
+equal, so colliding digests do no harm.
 """
 
 from __future__ import annotations
 
+import pkgutil
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -22,13 +25,15 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terratess.staging import put
+from terratess.staging import put, release, stage
 
 #: Hosts that the method itself blocks where no rule decides; all their subdomains too.
-BLOCKED_HOSTS = ("adult-x.example.com", "spam-farm.example.org", "cheap-pills.example.com", "cheap-pills.example.net", "ads-track.example.com", "casino-win.example.net", "free-bets.example.net")
-#: Most bytes of a list's file, as every executor gets a copy.
+BLOCKED_HOSTS = tuple(x for x in pkgutil.get_data(__package__, "data/blocked_hosts.txt").decode().split("\n") if x and x[0] != "#")
+#: Most bytes of a list's files, as every executor gets a copy.
 MOST_BYTES = 4 << 30
 CHUNK = 1 << 14
+#: The seed of Spark's own xxhash64 function.
+SEED = 42
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -50,39 +55,78 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^(?s:.*?)://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def digest_file(rules: Iterable[Rule], blocked: Iterable[str]) -> bytes:
-    """Layout of little-endian 64-bit words: count; sorted digests; where each entry's string starts, and their end; then the strings.
+def digest_of(key: str) -> int:
+    """What Spark's xxhash64 gives for the string."""
+    n = xxhash.xxh64_intdigest(key, seed=SEED)
+    return n - (1 << 64) if n >> 63 else n
+
+
+def entries(rules: DataFrame, blocked: DataFrame) -> DataFrame:
+    """``rules (verdict, host, path)`` and ``blocked (host)`` as (kind, verdict, key, depth), each kind's key once; of equal rules block wins. Rows with nulls and empty paths are left out."""
+    own = rules.select(F.lit("r").alias("kind"), F.substring("verdict", 1, 1).alias("verdict"), F.concat("host", "path").alias("key"), F.length("path").alias("depth"))
+    method = blocked.select(F.lit("m").alias("kind"), F.lit("b").alias("verdict"), F.concat("host", F.lit("/")).alias("key"), F.lit(1).alias("depth"))
+    return own.unionByName(method).where("verdict is not null and key is not null and depth > 0").groupBy("kind", "key").agg(F.max("verdict").alias("verdict"), F.max("depth").alias("depth"))
+
+
+def _encoded(batches) -> Iterator[pa.RecordBatch]:
+    """Sorted (digest, line) as chunks of (digests, lengths, bytes)."""
+    for batch in batches:
+        lines = batch.column(1).cast(pa.binary())
+        sizes = np.array([len(x) for x in lines.to_pylist()], dtype="<i8")
+        out = (np.asarray(batch.column(0)).astype("<i8").tobytes(), sizes.tobytes(), b"".join(lines.to_pylist()))
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in out], ["keys", "sizes", "text"])
 
-    A string is its kind (``r`` rule, ``m`` the method's own), verdict (``a``,
-    ``b``) and key. Of equal keys of one kind the last rule counts.
-    """
-    entries = {("r", r.host + r.path): (r.verdict[0], r.host, r.path) for r in rules}
-    entries |= {("m", f"{h}/"): ("b", h, "/") for h in blocked}
-    lines = sorted((xxhash.xxh64_intdigest(f"{kind}{key}"), f"{kind}{verdict}{key}".encode()) for (kind, key), (verdict, _, _) in entries.items())
-    keys = np.array([d for d, _ in lines], dtype="<u8")
-    at = np.concatenate([[0], np.cumsum([len(s) for _, s in lines], dtype=np.int64)]).astype("<i8")
-    depths = sorted({("r", len(p)) for k, (_, _, p) in entries.items() if k[0] == "r"} | {("m", 1) for k in entries if k[0] == "m"})
-    head = np.array([len(lines), len(depths), *[x for kind, n in depths for x in (ord(kind), n)]], dtype="<i8")
-    return head.tobytes() + keys.tobytes() + at.tobytes() + b"".join(s for _, s in lines)
+
+@dataclass(frozen=True)
+class Published:
+    """Names of the files that every executor has, and the lengths of paths by kind."""
+
+    name: str
+    depths: tuple[tuple[str, int], ...]
+
+
+def publish(spark: SparkSession, rules: DataFrame, blocked: DataFrame) -> Published:
+    """Sorts and encodes the lists, writes them to the shared folder and has Spark copy them to every executor."""
+    held = stage(entries(rules, blocked).withColumn("line", F.concat("kind", "verdict", "key")).withColumn("digest", F.xxhash64(F.concat("kind", "key"))), "entries")
+    size = held.agg(F.coalesce(F.sum(F.octet_length("line") + 16), F.lit(0))).first()[0]
+    if size > MOST_BYTES:
+        raise ValueError("the lists are too large to copy to every executor")
+    depths = tuple(sorted((r["kind"], r["depth"]) for r in held.select("kind", "depth").distinct().collect()))
+    chunks = held.orderBy("digest", "line").select("digest", "line").mapInArrow(_encoded, "keys binary, sizes binary, text binary")
+    chunks = stage(chunks.withColumn("place", F.monotonically_increasing_id()), "chunks")
+    name = f"digests-{uuid.uuid4().hex}"
+
+    def stream(column: str) -> Iterator[bytes]:
+        for r in chunks.select("place", column).orderBy("place").toLocalIterator():
+            yield bytes(r[column])
+
+    def offsets() -> Iterator[bytes]:
+        at = 0
+        yield np.zeros(1, dtype="<i8").tobytes()
+        for x in stream("sizes"):
+            ends = at + np.cumsum(np.frombuffer(x, dtype="<i8"))
+            at = int(ends[-1]) if len(ends) else at
+            yield ends.astype("<i8").tobytes()
+
+    for kind, parts in (("keys", stream("keys")), ("at", offsets()), ("text", stream("text"))):
+        spark.sparkContext.addFile(put(spark, f"lists/{name}.{kind}", parts))
+    release(held, chunks)
+    return Published(name, depths)
 
 
 class DigestArray:
-    def __init__(self, path: str):
-        words = np.memmap(path, dtype="<i8", mode="r", shape=(2,))
-        n, k = (int(x) for x in words)
-        depths = np.memmap(path, dtype="<i8", mode="r", offset=16, shape=(2 * k,)) if k else np.zeros(0, dtype=np.int64)
-        self.depths = [(chr(depths[2 * i]), int(depths[2 * i + 1])) for i in range(k)]
-        at = 16 + 16 * k
-        self.keys = np.memmap(path, dtype="<u8", mode="r", offset=at, shape=(n,)) if n else np.zeros(0, dtype=np.uint64)
-        self.at = np.memmap(path, dtype="<i8", mode="r", offset=at + 8 * n, shape=(n + 1,))
-        size = int(self.at[-1])
-        self.text = np.memmap(path, dtype=np.uint8, mode="r", offset=at + 16 * n + 8, shape=(size,)) if size else np.zeros(0, dtype=np.uint8)
+    """Memory-mapped files of sorted digests, where each string starts, and the strings (kind, verdict, key)."""
+
+    def __init__(self, keys: str, at: str, text: str, depths: Iterable[tuple[str, int]] = ()):
+        self.depths = list(depths)
+        mapped = lambda path, kind: np.memmap(path, dtype=kind, mode="r") if open(path, "rb").read(1) else np.zeros(0, dtype=kind)  # noqa: E731, SIM115
+        self.keys, self.at, self.text = mapped(keys, "<i8"), mapped(at, "<i8"), mapped(text, np.uint8)
 
     def find(self, keys: list[str]) -> list[str | None]:
         """For ``kind + key`` its verdict, or none."""
         if not keys or not len(self.keys):
             return [None] * len(keys)
-        digests = np.fromiter((xxhash.xxh64_intdigest(k) for k in keys), dtype=np.uint64, count=len(keys))
+        digests = np.fromiter(map(digest_of, keys), dtype=np.int64, count=len(keys))
         at = np.searchsorted(self.keys, digests)
         hit = at < len(self.keys)
         hit[hit] = self.keys[at[hit]] == digests[hit]
@@ -99,8 +143,8 @@ class DigestArray:
 
 
 @lru_cache(maxsize=4)
-def _mapped(path: str) -> DigestArray:
-    return DigestArray(path)
+def _mapped(published: Published) -> DigestArray:
+    return DigestArray(*(SparkFiles.get(f"{published.name}.{kind}") for kind in ("keys", "at", "text")), published.depths)
 
 
 def judge(array: DigestArray, hosts: list[str], paths: list[str]) -> tuple[list[str | None], list[str]]:
@@ -135,9 +179,9 @@ def judge(array: DigestArray, hosts: list[str], paths: list[str]) -> tuple[list[
     return rules, verdicts
 
 
-def _judged(name: str):
+def _judged(published: Published):
     def run(batches) -> Iterator[pa.RecordBatch]:
-        array = _mapped(SparkFiles.get(name))
+        array = _mapped(published)
         for batch in batches:
             for part in range(0, max(batch.num_rows, 1), CHUNK):
                 b = batch.slice(part, CHUNK)
@@ -147,25 +191,24 @@ def _judged(name: str):
     return run
 
 
-def publish(spark: SparkSession, content: bytes) -> str:
-    """Writes a list to the shared folder and has Spark copy it to every executor; returns its name there."""
-    if len(content) > MOST_BYTES:
-        raise ValueError("the list is too large to copy to every executor")
-    name = f"digests-{uuid.uuid4().hex}.bin"
-    spark.sparkContext.addFile(put(spark, f"lists/{name}", content))
-    return name
-
-
-def filter_urls(pages: DataFrame, rules: Iterable[Rule], blocked: Iterable[str] = BLOCKED_HOSTS) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: DataFrame | Iterable[Rule], blocked: DataFrame | Iterable[str] = BLOCKED_HOSTS) -> DataFrame:
     """``pages (page_id, url, ...)`` to ``(page_id, host, path, rule, verdict)``, one row per input row.
 
     The longest matching rule (characters of host and path, then its text) decides;
     without one the method blocks the hosts of ``blocked`` and their subdomains
-    and allows the rest. A null url, or one without ``://``, has empty host and path
-    and is allowed. A rule path must not be empty. Repeated rows are judged alike.
+    and allows the rest. Lists are tables, ``rules (verdict, host, path)`` and
+    ``blocked (host)``, or small collections; of equal rules block wins. A null url,
+    or one without ``://``, has empty host and path and is allowed. A rule path must
+    not be empty. Repeated rows are judged alike; further columns are not read; an
+    empty table gives an empty result.
     """
-    name = publish(pages.sparkSession, digest_file(rules, blocked))
+    spark = pages.sparkSession
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame([(r.verdict, r.host, r.path) for r in rules], "verdict string, host string, path string")
+    if not isinstance(blocked, DataFrame):
+        blocked = spark.createDataFrame([(h,) for h in blocked], "host string")
+    published = publish(spark, rules, blocked)
     kind = pages.schema["page_id"].dataType.simpleString()
     url = F.col("url").cast("string")
     slim = pages.select(F.col("page_id").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    return slim.mapInArrow(_judged(name), f"page_id {kind}, host string, path string, rule string, verdict string")
+    return slim.mapInArrow(_judged(published), f"page_id {kind}, host string, path string, rule string, verdict string")

@@ -46,11 +46,41 @@ def test_urls_equal_brute_force(spark):
     assert {x.verdict for x in op02_urlfilter.filter_urls(pages, [], []).collect()} == {"allow"}
 
 
+def test_lists_are_tables_of_any_size(spark):
+    """Thousands of keys sorted and encoded by Spark, repeated and null ones among them."""
+    r = random.Random(4)
+    rows = [(r.choice(["allow", "block"]), f"h{r.randrange(3000)}.org", r.choice(["/", "/a/", "/a/b", "/\u00e9"])) for _ in range(6000)] + [(None, "x.org", "/"), ("block", None, "/"), ("block", "y.org", "")]
+    rules = spark.createDataFrame(rows, "verdict string, host string, path string").repartition(7)
+    blocked = spark.createDataFrame([(f"b{k}.net",) for k in range(4000)] * 2 + [(None,)], "host string").repartition(5)
+    pages = [(i, f"http://{r.choice(['', 'w.'])}{r.choice('hb')}{r.randrange(4500)}.{r.choice(['org', 'net'])}{r.choice(['', '/', '/a/', '/a/b/c', '/\u00e9x'])}") for i in range(3000)]
+    known = {}
+    for v, h, p in rows:
+        if v and h and p:
+            known[h, p] = max(v, known.get((h, p), "allow"))
+    by_host = {}
+    for (h, p), v in known.items():
+        by_host.setdefault(h, []).append(Rule(v, h, p))
+    own = {f"b{k}.net" for k in range(4000)}
+    found = {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in op02_urlfilter.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), rules, blocked).collect()}
+    for i, u in pages:
+        host = verdict(u, [], [])[0]
+        name = host.removeprefix("w.")
+        assert found[i] == verdict(u, by_host.get(name, []), [name] if name in own else [])
+
+
+def test_digests_are_those_of_spark(spark):
+    keys = ["", "a", "rnet/", "m\u00e9\U0001f600.org/", "x" * 100]
+    found = spark.createDataFrame([(k,) for k in keys], "k string").select("k", F.xxhash64("k").alias("d")).collect()
+    assert {x.k: x.d for x in found} == {k: op02_urlfilter.digest_of(k) for k in keys}
+
+
 def test_colliding_digests_are_told_apart(tmp_path, monkeypatch):
-    monkeypatch.setattr(op02_urlfilter.xxhash, "xxh64_intdigest", lambda s: 7)
-    rules = [Rule("block", "a.net", "/"), Rule("allow", "b.net", "/"), Rule("block", "c.net", "/")]
-    (tmp_path / "d").write_bytes(op02_urlfilter.digest_file(rules, []))
-    array = DigestArray(str(tmp_path / "d"))
+    monkeypatch.setattr(op02_urlfilter, "digest_of", lambda s: 7)
+    lines = [b"rba.net/", b"rab.net/", b"rbc.net/"]
+    parts = (np.full(3, 7, dtype="<i8").tobytes(), np.cumsum([0, *map(len, lines)]).astype("<i8").tobytes(), b"".join(lines))
+    for name, content in zip("kat", parts):
+        (tmp_path / name).write_bytes(content)
+    array = DigestArray(*(str(tmp_path / name) for name in "kat"))
     assert array.find(["rb.net/", "ra.net/", "rx.net/", "rc.net/"]) == ["a", "b", None, "b"]
 
 
