@@ -6,6 +6,7 @@ All stay inside code generation. Divisions that can meet zero give null.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,6 +49,18 @@ def area(x0, y0, x1, y1, x2, y2) -> Column:
     return F.abs(double_area(x0, y0, x1, y1, x2, y2)) / 2
 
 
+def area_on(grid: Grid) -> Callable[..., Column]:
+    """The size of a triangle on a grid in square metres: plane, or equal-area where coordinates are degrees."""
+    if not grid.geographic:
+        return area
+
+    def sized(x0, y0, x1, y1, x2, y2) -> Column:
+        flat = F.transform(F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((x0, y0), (x1, y1), (x2, y2))]), lambda p: F.struct(*[c.alias(n) for c, n in zip(mollweide(p["x"], p["y"]), "xy")]))
+        return F.get(F.transform(F.array(flat), lambda p: area(*[p[k][n] for k in range(3) for n in "xy"])), F.lit(0))
+
+    return sized
+
+
 def squared_edges(x0, y0, x1, y1, x2, y2) -> list[Column]:
     """Squared lengths of the edges opposite each vertex."""
     d = lambda ax, ay, bx, by: (ax - bx) * (ax - bx) + (ay - by) * (ay - by)

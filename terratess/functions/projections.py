@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -112,3 +113,87 @@ class Geographic:
 
     def inverse(self, x: Column, y: Column) -> tuple[Column, Column]:
         return x, y
+
+
+#: EPSG and ESRI codes of geographic systems.
+_DEGREES = {4326, 4269, 4258, 4979, 4617}
+
+
+def _coded(code: int):
+    if code in _DEGREES:
+        return Geographic()
+    if 32601 <= code <= 32660 or 26901 <= code <= 26923 or 25828 <= code <= 25838:
+        return Utm(code % 100)
+    if 32701 <= code <= 32760:
+        return Utm(code % 100, False)
+    return Albers() if code == 102008 else None
+
+
+def _of_proj4(text: str):
+    given = {k: v for k, v in re.findall(r"\+(\w+)(?:=(\S+))?", text)}
+    kind = given.get("proj")
+    if kind in ("longlat", "latlong", "lonlat"):
+        return Geographic()
+    if kind == "utm":
+        return Utm(int(given["zone"]), "south" not in given)
+    if kind == "aea":
+        return Albers(*(float(given.get(k, 0.0)) for k in ("lat_1", "lat_2", "lat_0", "lon_0")))
+    return None
+
+
+def _of_words(text: str):
+    """Well-known text, or a name as rasters carry it."""
+    plain = text.replace("_", " ")
+    if m := re.search(r"UTM zone (\d+) ?([NS])?", plain, re.IGNORECASE):
+        return Utm(int(m[1]), (m[2] or "N").upper() == "N")
+    if re.search("albers", plain, re.IGNORECASE):
+        given = {k.lower(): float(v) for k, v in re.findall(r'PARAMETER\["([^"]+)",\s*([-+.\deE]+)', text)}
+        if not given:
+            return None
+        pick = lambda default, *names: next((given[n] for n in names if n in given), default)
+        return Albers(pick(0.0, "standard_parallel_1"), pick(0.0, "standard_parallel_2"), pick(0.0, "latitude_of_center", "latitude_of_origin"), pick(0.0, "longitude_of_center", "central_meridian"))
+    if re.search(r"PROJC(S|RS)\[", text):
+        return None
+    return Geographic() if re.search(r"GEOGC(S|RS)\[|^(WGS ?84|NAD ?83|GCS)|OGC:.*CRS84", plain, re.IGNORECASE) else None
+
+
+def of(crs: str):
+    """The projection that a coordinate system names: a proj4 string, an EPSG or ESRI code, well-known text or its usual name. Others are an error."""
+    text = " ".join(crs.split())
+    if m := re.search(r"^(?:EPSG|ESRI):(\d+)$|[:/](?:EPSG|ESRI)(?::|/)+(?:[\d.]*[:/])?(\d+)$", text, re.IGNORECASE):
+        found = _coded(int(m[1] or m[2]))
+    else:
+        found = _of_proj4(text) if "+proj" in text else _of_words(text)
+    if found is None:
+        raise ValueError(f"the coordinate system {crs!r} is not one that can be projected")
+    return found
+
+
+def known(crs: str) -> bool:
+    try:
+        return bool(of(crs))
+    except ValueError:
+        return False
+
+
+def same(a: str, b: str) -> bool:
+    """Whether two coordinate systems agree, datums aside; unknown ones agree only with themselves."""
+    if a == b:
+        return True
+    try:
+        return of(a) == of(b)
+    except ValueError:
+        return False
+
+
+def geographic(crs: str) -> bool:
+    try:
+        return isinstance(of(crs), Geographic)
+    except ValueError:
+        return False
+
+
+def between(source: str, target: str):
+    """A function of columns (x, y) from one coordinate system to another, through degrees."""
+    a, b = of(source), of(target)
+    return lambda x, y: b.forward(*a.inverse(x, y))

@@ -7,8 +7,11 @@ ids from 0; -1 marks a missing neighbour.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+from terratess.functions.projections import geographic
+
 RASTER_CELLS = "raster_id string, px int, py int, v double"
 RASTER_TILES = "raster_id string, tx int, ty int, w int, h int, data array<float>"
 MESH_VERTEX = "vid int, x double, y double, z double"
@@ -40,10 +43,22 @@ class Grid:
         return min(xs), min(ys), max(xs), max(ys)
 
     @property
-    def least_area(self) -> float:
-        """The default smallest triangle: one cell."""
+    def geographic(self) -> bool:
+        """Whether coordinates are degrees."""
+        return geographic(self.crs)
+
+    @property
+    def cell_area(self) -> float:
         return abs(self.dx * self.dy)
 
+    @property
+    def least_area(self) -> float:
+        """The default smallest triangle: one cell; of a grid in degrees the square metres of its middle cell."""
+        if not self.geographic:
+            return self.cell_area
+        degree = math.radians(1) * 6378137.0
+        return self.cell_area * degree * degree * math.cos(math.radians(self.uly + self.height * self.dy / 2))
+
     @property
     def geotransform(self) -> tuple[float, ...]:
         return (self.ulx, self.dx, 0.0, self.uly, 0.0, self.dy)

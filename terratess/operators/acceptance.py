@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terratess.functions.geometry import area, min_sine2
+from terratess.functions.geometry import area_on, min_sine2
 from terratess.model import Grid
 from terratess.operators.metrics import errors
 from terratess.operators.spatial import TILE, corners
@@ -49,11 +49,11 @@ def topography_weight(weights: dict[str, float]) -> float:
     return rest
 
 
-def measured(elem: DataFrame, vertex: DataFrame) -> DataFrame:
-    """Triangles with corners, ``area`` and ``sine2``."""
+def measured(elem: DataFrame, vertex: DataFrame, grid: Grid) -> DataFrame:
+    """Triangles with corners, ``area`` in square metres and ``sine2``."""
     t = corners(elem, vertex)
     xy = [F.col(c) for k in range(3) for c in (f"x{k}", f"y{k}")]
-    return t.withColumns({"area": area(*xy), "sine2": F.coalesce(min_sine2(*xy), F.lit(0.0))})
+    return t.withColumns({"area": area_on(grid)(*xy), "sine2": F.coalesce(min_sine2(*xy), F.lit(0.0))})
 
 
 def cheap(criteria: Criteria) -> Column:
@@ -85,7 +85,7 @@ def score(criteria: Criteria) -> Column:
 
 def badness(elem: DataFrame, vertex: DataFrame, cells: DataFrame, grid: Grid, criteria: Criteria, tile: int = TILE) -> DataFrame:
     """``(tri, area, sine2, badness)`` and, for triangles that area and angle leave open, their errors (and ``alpha`` with weights)."""
-    t = measured(elem, vertex).select("tri", "v0", "v1", "v2", "area", "sine2").withColumn("_cheap", cheap(criteria))
+    t = measured(elem, vertex, grid).select("tri", "v0", "v1", "v2", "area", "sine2").withColumn("_cheap", cheap(criteria))
     layers = {n: x.metric for n, x in criteria.tested.items()}
     slim = t.select("tri", "area", "sine2", "_cheap")
     if criteria.uniform or not layers:

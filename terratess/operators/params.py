@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terratess.functions.geometry import angles, area
+from terratess.functions.geometry import angles, area_on
 from terratess.model import Grid
 from terratess.operators.metrics import mesh_rmse
 from terratess.operators.spatial import corners
@@ -57,5 +57,5 @@ def mesh_report(elem: DataFrame, vertex: DataFrame, cells: DataFrame, grid: Grid
     t = corners(elem, vertex)
     xy = [F.col(c) for k in range(3) for c in (f"x{k}", f"y{k}")]
     a = angles(*xy)
-    shape = t.select("tri", area(*xy).alias("area"), F.least(*a).alias("min_angle"), F.greatest(*a).alias("max_angle"))
+    shape = t.select("tri", area_on(grid)(*xy).alias("area"), F.least(*a).alias("min_angle"), F.greatest(*a).alias("max_angle"))
     return shape.join(mesh_rmse(elem, vertex, cells, grid, layer), "tri").select("tri", F.col("rmse").alias("error"), "area", "min_angle", "max_angle")

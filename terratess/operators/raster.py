@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terratess.functions.geometry import map_to_pixel
+from terratess.functions.projections import between, same
 from terratess.model import NODATA, Grid
 
 
@@ -103,6 +104,25 @@ def warp(spark: SparkSession, cells: DataFrame, source: Grid, target: Grid, inve
     return at.join(from_, ["_sx", "_sy"]).select("px", "py", "v")
 
 
+def projected_grid(spark: SparkSession, grid: Grid, crs: str, steps: int = 21) -> Grid:
+    """The grid in another coordinate system: the box of its outline there, with square cells of which the diagonal has as many."""
+    xmin, ymin, xmax, ymax = grid.extent
+    at = [k / (steps - 1) for k in range(steps)]
+    rim = {p for t in at for p in ((xmin + t * (xmax - xmin), ymin), (xmin + t * (xmax - xmin), ymax), (xmin, ymin + t * (ymax - ymin)), (xmax, ymin + t * (ymax - ymin)))}
+    x, y = between(grid.crs, crs)(F.col("x"), F.col("y"))
+    a, b, c, d = spark.createDataFrame(sorted(rim), "x double, y double").select(x.alias("x"), y.alias("y")).agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    size = math.hypot(c - a, d - b) / math.hypot(grid.width, grid.height)
+    return Grid(a, size, d, -size, max(1, round((c - a) / size)), max(1, round((d - b) / size)), crs)
+
+
+def reprojected(spark: SparkSession, cells: DataFrame, source: Grid, crs: str) -> tuple[DataFrame, Grid]:
+    """Cells and grid in another coordinate system, nearest neighbour; unchanged where the systems agree, an error where one is unknown."""
+    if same(source.crs, crs):
+        return cells, source
+    target = projected_grid(spark, source, crs)
+    return warp(spark, cells, source, target, between(crs, source.crs)), target
+
+
 def finer(grid: Grid, factor: float) -> Grid:
     """The same extent with cells smaller by ``factor``."""
     return Grid(grid.ulx, grid.dx / factor, grid.uly, grid.dy / factor, round(grid.width * factor), round(grid.height * factor), grid.crs)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import warnings
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terratess.model import MESH_ELEM, MESH_NEIGH, MESH_VERTEX, Grid
@@ -20,6 +21,22 @@ Points = Sequence[tuple[float, float]]
 MOST_VERTICES = 200_000
 
 
+#: Metres of the widest degree.
+DEGREE = 111_320.0
+
+
+def equal_area(lon: float, lat: float) -> tuple[float, float]:
+    """Mollweide metres of degrees, as ``geometry.mollweide`` gives them."""
+    phi = math.radians(lat)
+    t = phi
+    for _ in range(12):
+        slope = 2 + 2 * math.cos(2 * t)
+        if slope < 1e-12:
+            break
+        t -= (2 * t + math.sin(2 * t) - math.pi * math.sin(phi)) / slope
+    return 2 * math.sqrt(2) / math.pi * 6378137.0 * math.radians(lon) * math.cos(t), math.sqrt(2) * 6378137.0 * math.sin(t)
+
+
 class MeshFull(ValueError):
     """The bound on vertices was reached with triangles left that fail the criteria."""
 
@@ -27,8 +44,10 @@ class MeshFull(ValueError):
 class Mesh:
     """The growing triangulation of one domain with its outline and inner constraints."""
 
-    def __init__(self, boundary: Points, constraints: Sequence[Points] = ()):
+    def __init__(self, boundary: Points, constraints: Sequence[Points] = (), geographic: bool = False):
+        """``geographic`` coordinates are degrees; sizes of triangles are square metres all the same."""
         xs, ys = zip(*boundary)
+        self.geographic = geographic
         self.boundary, self.constraints = list(boundary), [list(c) for c in constraints]
         self.t = Triangulation(min(xs), min(ys), max(xs), max(ys))
         self.skipped = 0  # constraint segments that cross others or leave the domain
@@ -60,6 +79,9 @@ class Mesh:
     def corners(self, tri: Sequence[int]) -> list[tuple[float, float]]:
         return [self.t.xy(v) for v in tri]
 
+    def area(self, p: Sequence[tuple[float, float]]) -> float:
+        return abs(orient(*[equal_area(x, y) for x, y in p] if self.geographic else p)) / 2
+
     def split(self, tri: Sequence[int], shortest: float) -> bool:
         """Improves one triangle: its circumcentre, or the middle of the fixed edges that this would crowd. False if nothing could be done."""
         t = self.t
@@ -99,7 +121,7 @@ class Mesh:
                 if key in stuck:
                     continue
                 p = self.corners(tri)
-                if (a := abs(orient(*p)) / 2) > max_area or sine2_of(*p) < least_sine2:
+                if (a := self.area(p)) > max_area or sine2_of(*p) < least_sine2:
                     todo.append((-a, key))
             if not todo:
                 return
@@ -112,7 +134,7 @@ class Mesh:
     def failing(self, max_area: float, least_sine2: float) -> int:
         """Triangles that are too large or too sharp."""
         all_ = (self.corners(self.t.triangles[k]) for k in self.t.domain())
-        return sum(abs(orient(*p)) / 2 > max_area or sine2_of(*p) < least_sine2 for p in all_)
+        return sum(self.area(p) > max_area or sine2_of(*p) < least_sine2 for p in all_)
 
     def _stands(self, key: tuple[int, ...]) -> bool:
         """Whether a triangle of these vertices still exists; split() looks no further."""
@@ -180,8 +202,8 @@ def refine(spark: SparkSession, boundary: Points, cells: DataFrame, grid: Grid,
     its side, so sharp corners of the outline can stay: a warning gives the number of
     such triangles, which ``Mesh.left`` holds.
     """
-    mesh = Mesh(boundary, constraints)
-    shortest = max(criteria.min_area, 1e-12) ** 0.5 / 1000
+    mesh = Mesh(boundary, constraints, grid.geographic)
+    shortest = max(criteria.min_area, 1e-12) ** 0.5 / 1000 / (DEGREE if grid.geographic else 1)
     judged: set[tuple[int, ...]] = set()
     while True:
         mesh.improve(criteria.max_area, acceptance.LEAST_SINE2, shortest, most_vertices)
@@ -244,8 +266,3 @@ def repair_heights(vertex: DataFrame, elem: DataFrame) -> DataFrame:
         if left == before:
             raise ValueError(f"{left} vertices have no height and no neighbour with one")
     return vertex
-
-
-def numbered(faces: DataFrame, key: str) -> DataFrame:
-    """Ids from 0 in the order of a key, for faces of the domain."""
-    return faces.withColumn("tri", (F.row_number().over(Window.orderBy(key)) - 1).cast("int"))

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terratess.functions.projections import between, same
 from terratess.model import Grid
 from terratess.operators.components import components
 from terratess.staging import stage
@@ -29,11 +30,12 @@ def collected(points: DataFrame, gtype: str) -> DataFrame:
     return parts.select("fid", F.lit(gtype).alias("gtype"), "parts", F.create_map().cast("map<string,string>").alias("props"))
 
 
-def reproject(points: DataFrame, source, target) -> DataFrame:
-    """Points from one projection to another through degrees."""
-    lon, lat = source.inverse(F.col("x"), F.col("y"))
-    x, y = target.forward(F.col("_lon"), F.col("_lat"))
-    return points.withColumns({"_lon": lon, "_lat": lat}).withColumns({"x": x, "y": y}).drop("_lon", "_lat")
+def reproject(points: DataFrame, source: str, target: str) -> DataFrame:
+    """Points from one coordinate system to another; unchanged where they agree, an error where one is unknown."""
+    if same(source, target):
+        return points
+    x, y = between(source, target)(F.col("x"), F.col("y"))
+    return points.withColumns({"x": x, "y": y})
 
 
 #: Links of runs that one task joins (16 bytes each); more are contracted in distributed rounds.
@@ -58,7 +60,7 @@ def cell_components(cells: DataFrame, value: str = "v", in_task: int = RUNS_IN_T
 
 
 def component_areas(found: DataFrame, grid: Grid, value: str = "v") -> DataFrame:
-    return found.groupBy("component").agg(F.first(value).alias(value), F.count("*").alias("n_cells")).withColumn("area", F.col("n_cells") * grid.least_area)
+    return found.groupBy("component").agg(F.first(value).alias(value), F.count("*").alias("n_cells")).withColumn("area", F.col("n_cells") * grid.cell_area)
 
 
 def largest(table: DataFrame, by: str, key: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, fields
 from typing import Any
 
+from terratess.functions.projections import Albers
 from terratess.operators.acceptance import topography_weight
 from terratess.operators.refine import MOST_VERTICES
 from terratess.operators.zonal import METHODS
@@ -62,8 +63,11 @@ class Parameter:
 
 @dataclass(frozen=True)
 class Constraint:
+    """Lines; ``crs`` where the file does not say its own."""
+
     file: str
     simplify: float | None = None
+    crs: str | None = None
 
 
 @dataclass(frozen=True)
@@ -90,6 +94,7 @@ class Config:
     max_smooth_iter: int = 1
     do_cell_resize: bool = True
     use_input_prj: bool = True
+    wkt_out: str = Albers().crs
     use_weights: bool | None = None
     weight_threshold: float = 0.5
     extent: tuple[float, float, float, float] | None = None
@@ -111,6 +116,7 @@ class Config:
             (self.lloyd_itr < 0 or self.max_smooth_iter < 0, "iterations must not be negative"),
             (self.most_vertices < 3, "most_vertices must be 3 at least"),
             (not 0 <= self.weight_threshold <= 1, "weight_threshold is a fraction"),
+            (not self.use_input_prj and not self.wkt_out, "wkt_out is required without use_input_prj"),
         )
         for broken, what in rules:
             if broken:

@@ -27,14 +27,17 @@ class Result:
 
 
 def surface(spark: SparkSession, cfg: Config) -> tuple[DataFrame, Grid]:
-    """The DEM's valid cells after cutting, filling and smoothing, staged."""
+    """The DEM's valid cells after cutting, projecting, filling and smoothing, staged."""
     grid = geotiff.read_grid(spark, cfg.dem_filename)
     cells = geotiff.read_cells(spark, cfg.dem_filename).select("px", "py", "v")
     if cfg.extent:
         cells = raster.extent_subset(cells, grid, cfg.extent)
     if cfg.clip_to_shp:
         rings = vector.exploded(shapefile.read_shapefile(spark, cfg.clip_to_shp)).withColumnRenamed("part", "ring")
+        rings = vector.reproject(rings, shapefile.read_crs(spark, cfg.clip_to_shp), grid.crs)
         cells = raster.clip_to_polygon(cells, grid, rings)
+    if not cfg.use_input_prj:
+        cells, grid = raster.reprojected(spark, cells, grid, cfg.wkt_out)
     if cfg.fill_holes:
         cells = raster.fill_nodata(spark, cells, grid, cfg.fill_radius)
     if cfg.do_smoothing:
@@ -45,9 +48,9 @@ def surface(spark: SparkSession, cfg: Config) -> tuple[DataFrame, Grid]:
 
 
 def aligned(spark: SparkSession, file: str, method, grid: Grid, cfg: Config) -> DataFrame:
-    """One parameter raster on the DEM's grid."""
+    """One parameter raster on the DEM's grid and in its coordinate system."""
     own = geotiff.read_grid(spark, file)
-    cells = geotiff.read_cells(spark, file).select("px", "py", "v")
+    cells, own = raster.reprojected(spark, geotiff.read_cells(spark, file).select("px", "py", "v"), own, grid.crs)
     same = own.geotransform == grid.geotransform and (own.width, own.height) == (grid.width, grid.height)
     if not same and cfg.do_cell_resize:
         cells = raster.resample(cells, own, grid, "mode" if method == "mode" else "average")
@@ -78,14 +81,16 @@ def domain(spark: SparkSession, dem: DataFrame, grid: Grid, cfg: Config) -> list
     return [(r.x, r.y) for r in vertex.orderBy("vid").collect()]
 
 
-def constraint_lines(spark: SparkSession, cfg: Config, outline: list[tuple[float, float]]) -> DataFrame | None:
-    """Inner lines cut to the domain, simplified each by its own tolerance, rounded and numbered together."""
+def constraint_lines(spark: SparkSession, cfg: Config, outline: list[tuple[float, float]], crs: str) -> DataFrame | None:
+    """Inner lines, simplified each by its own tolerance in its own units, projected, cut to the domain, rounded and numbered together."""
     found = []
     for c in cfg.constraints.values():
-        features = geojson.read_geojson(spark, c.file) if c.file.endswith("json") else shapefile.read_shapefile(spark, c.file.removesuffix(".shp"))
+        json, stem = c.file.endswith("json"), c.file.removesuffix(".shp")
+        features = geojson.read_geojson(spark, c.file) if json else shapefile.read_shapefile(spark, stem, require_crs=not c.crs)
         points = vector.exploded(features)
         if c.simplify:
             points = vector.simplify(points, c.simplify)
+        points = vector.reproject(points, c.crs or (geojson.read_crs(spark, c.file) if json else shapefile.read_crs(spark, stem)), crs)
         found.append(vector.clip_lines(points, outline))
     return stage(vector.merged(*found), "constraints") if found else None
 
@@ -101,7 +106,7 @@ def criteria(cfg: Config, grid: Grid) -> acceptance.Criteria:
 def parameterise(triangles: DataFrame, cells: DataFrame, grid: Grid, wanted: dict[str, Parameter]) -> DataFrame:
     """``(tri, area, id, name ...)``: all parameters from one spatial join."""
     columns = {f"{n}__{k}": (f"{n}__{k}", m) for n, p in wanted.items() for k, m in enumerate(p.methods)}
-    out = triangles.select("tri", geometry.area(*[F.col(c) for k in range(3) for c in (f"x{k}", f"y{k}")]).alias("area"), F.col("tri").cast("long").alias("id"))
+    out = triangles.select("tri", geometry.area_on(grid)(*[F.col(c) for k in range(3) for c in (f"x{k}", f"y{k}")]).alias("area"), F.col("tri").cast("long").alias("id"))
     if not columns:
         return out
     found = zonal.zonal(triangles, cells, grid, columns)
@@ -120,9 +125,12 @@ def run(spark: SparkSession, cfg: Config) -> Result:
         vertex, elem, neigh = triangle_files.read_node(spark, f"{stem}.node"), triangle_files.read_ele(spark, f"{stem}.ele"), triangle_files.read_neigh(spark, f"{stem}.neigh")
     else:
         outline = domain(spark, dem, grid, cfg)
-        lines = constraint_lines(spark, cfg, outline)
+        ring = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(outline)], "seq int, x double, y double")
+        triangle_files.write_poly(f"{stem}.poly", *vector.boundary_graph(ring))
+        lines = constraint_lines(spark, cfg, outline, grid.crs)
         inner: dict = {}
         if lines is not None:
+            geojson.write_geojson(f"{stem}_lines.geojson", vector.collected(lines, "MultiLineString"), grid.crs)
             for r in lines.orderBy("fid", "part", "seq").collect():  # the kernel holds the planar graph anyway
                 inner.setdefault((r.fid, r.part), []).append((r.x, r.y))
         mesh = refine.refine(spark, outline, cells, grid, criteria(cfg, grid), list(inner.values()), cfg.lloyd_itr, cfg.most_vertices)
@@ -139,7 +147,7 @@ def run(spark: SparkSession, cfg: Config) -> Result:
 
 
 def write(r: Result, stem: str, cfg: Config) -> None:
-    mesh_json.write_mesh(f"{stem}.mesh", r.vertex, r.elem, r.neigh, {"is_geographic": int("longlat" in r.grid.crs), "proj4": r.grid.crs})
+    mesh_json.write_mesh(f"{stem}.mesh", r.vertex, r.elem, r.neigh, {"is_geographic": int(r.grid.geographic), "proj4": r.grid.crs})
     mesh_json.write_param(f"{stem}.param", r.params)
     if r.initial is not None:
         mesh_json.write_ic(f"{stem}.ic", r.initial)

@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from terratess.staging import put
 
 def ship(spark: SparkSession) -> None:
-    """Hands the package's sources to every executor, once a Spark context."""
+    """Hands the package's sources and data files to every executor, once a Spark context."""
     context = spark.sparkContext
     if getattr(context, "_terratess_shipped", False):
         return
@@ -19,7 +19,7 @@ def ship(spark: SparkSession) -> None:
     if root.is_dir():  # else the package came in a zip that Spark has shipped already
         held = io.BytesIO()
         with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
-            for p in sorted(root.rglob("*.py")):
+            for p in sorted(x for x in root.rglob("*") if x.suffix in (".py", ".txt")):
                 z.write(p, p.relative_to(root.parent).as_posix())
         context.addPyFile(put(spark, f"lists/terratess-{context.applicationId}.zip", held.getvalue()))
     context._terratess_shipped = True

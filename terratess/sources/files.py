@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +29,23 @@ def read_file(spark: SparkSession, path: str) -> bytes:
     return bytes(spark.read.format("binaryFile").load(path).select("content").first()["content"])
 
 
+def ranges(spark: SparkSession, path: str) -> Callable[[int, int], bytes]:
+    """A function that reads (offset, length) of a file, wherever Spark reaches it."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(context._jsc.hadoopConfiguration())
+
+    def read(offset: int, n: int) -> bytes:
+        stream = files.open(at)
+        try:
+            stream.seek(offset)
+            return bytes(stream.readNBytes(n))
+        finally:
+            stream.close()
+
+    return read
+
+
 def ordered(df: DataFrame, *keys: str) -> Iterator:
     """Rows in order, fetched partition by partition."""
     return df.orderBy(*keys).toLocalIterator(prefetchPartitions=True)

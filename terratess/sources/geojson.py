@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terratess.functions.projections import Geographic
 from terratess.sources.files import ordered, write_file
 
 #: How deep coordinates are nested.
@@ -25,11 +26,18 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("fid").cast("long").alias("fid"), F.col("f.geometry.type").alias("gtype"), parts.alias("parts"), F.col("f.properties").alias("props"))
 
 
-def write_geojson(path: str, features: DataFrame) -> None:
+def read_crs(spark: SparkSession, path: str) -> str:
+    """The coordinate system that the file names, else geographic degrees, as the format has it."""
+    named = spark.read.schema("crs struct<properties: struct<name: string>>").json(path, multiLine=True).select("crs.properties.name").first()
+    return (named and named["name"]) or Geographic().crs
+
+
+def write_geojson(path: str, features: DataFrame, crs: str = "") -> None:
     """Lines and polygons as a feature collection, in order of id."""
 
     def parts():
-        yield b'{"type": "FeatureCollection", "features": [\n'
+        named = f'"crs": {json.dumps({"type": "name", "properties": {"name": crs}})}, ' if crs else ""
+        yield f'{{"type": "FeatureCollection", {named}"features": [\n'.encode()
         for k, r in enumerate(ordered(features, "fid")):
             lines = [[[p.x, p.y] for p in part] for part in r.parts]
             shape = lines[0] if DEPTH[r.gtype] == 1 else lines if DEPTH[r.gtype] == 2 else [[x] for x in lines]

@@ -1,12 +1,14 @@
 """Round trips through files, configuration rules, the whole pipeline."""
 
+import json
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from terratess.functions import geometry, projections
 from terratess.functions.projections import Albers, Utm
 from terratess.model import Grid
-from terratess.operators import topology, vector
+from terratess.operators import refine, spatial, topology, vector
 from terratess.plans import config, pipeline
 from terratess.sources import geojson, geotiff, mesh_json, report, shapefile, synthetic, triangle_files
 
@@ -136,7 +138,7 @@ def test_whole_pipeline(spark, tmp_path):
     geotiff.write_geotiff(str(tmp_path / "dem.tif"), synthetic.gauss(spark, 32, 32, 100.0).where("px > 1"), grid)
     geotiff.write_geotiff(str(tmp_path / "veg.tif"), synthetic.vegpatch(spark, 32, 32, shift=0, half=8), grid)
     line = spark.createDataFrame([(0, 0, 0, 60.0, 60.0), (0, 0, 1, 250.0, 200.0)], "fid long, part int, seq int, x double, y double")
-    geojson.write_geojson(str(tmp_path / "river.json"), vector.collected(line, "LineString"))
+    geojson.write_geojson(str(tmp_path / "river.json"), vector.collected(line, "LineString"), "local")
     cfg = config.from_mapping(
         {
             "dem_filename": str(tmp_path / "dem.tif"), "max_area": 20_000.0, "min_area": 400.0, "max_tolerance": 20.0, "user_output_dir": str(tmp_path / "out"),
@@ -148,8 +150,12 @@ def test_whole_pipeline(spark, tmp_path):
     assert abs(r.params.agg(F.sum("area")).first()[0] - 300 * 320) < 1e-6
     assert {x[0] for x in r.params.select("veg").distinct().collect()} == {1.0, 100.0}
     assert set(r.params.columns) == {"tri", "area", "id", "veg", "mixed"}
-    for ending in ("mesh", "param", "shp", "dbf", "vtu", "node"):
+    for ending in ("mesh", "param", "shp", "dbf", "vtu", "node", "poly"):
         assert (tmp_path / "out" / f"mesh.{ending}").stat().st_size > 100
+    lines = str(tmp_path / "out" / "mesh_lines.geojson")
+    assert geojson.read_crs(spark, lines) == "local" and geojson.read_geojson(spark, lines).count() == 1
+    vertex, segment = triangle_files.read_poly(spark, str(tmp_path / "out" / "mesh.poly"))
+    assert vertex.count() == segment.count() == 4
     again = pipeline.run(spark, config.Config(**{**cfg.__dict__, "reuse_mesh": True}))
     assert values(again.elem, "tri") == values(r.elem, "tri")
 
@@ -217,3 +223,87 @@ def test_windows_have_shape(spark, strip):
     assert found.count() == 20 and {r["rows"] for r in found.collect()} <= {404.0, 403.0, 304.0, 303.0}
     holes = zonal.zonal_window(t, cells, grid, "n", "v", lambda w: np.isnan(w).sum())
     assert all(r["n"] > 0 for r in holes.collect())
+
+
+UTM = "+proj=utm +zone=11 +datum=WGS84 +units=m"
+
+
+def test_degrees_are_measured_in_metres(spark, tmp_path):
+    """A mesh on a grid in degrees is bounded by square metres, and its parameters hold them."""
+    grid = Grid(-116.0, 0.001, 51.0, -0.001, 40, 30, "EPSG:4326")
+    geotiff.write_geotiff(str(tmp_path / "dem.tif"), synthetic.flat(spark, 30, 40, 500.0), grid)
+    assert geotiff.read_grid(spark, str(tmp_path / "dem.tif")).geographic
+    cfg = config.from_mapping({"dem_filename": str(tmp_path / "dem.tif"), "max_area": 200_000.0, "max_tolerance": 50.0, "user_output_dir": str(tmp_path / "out"), "write_shp": False, "write_vtu": False})
+    r = pipeline.run(spark, cfg)
+    areas = [x.area for x in r.params.select("area").collect()]
+    cell = 111_319.49**2 * 1e-6 * np.cos(np.radians(50.985))
+    assert len(areas) > 40 and max(areas) <= 200_000 and abs(sum(areas) / (cell * 1200) - 1) < 1e-3
+    assert abs(grid.least_area / cell - 1) < 1e-6
+    assert json.loads((tmp_path / "out" / "mesh.mesh").read_text())["mesh"]["is_geographic"] == 1
+
+
+def test_surface_parameters_and_lines_are_projected(spark, tmp_path):
+    """A surface in degrees, a parameter in UTM and a line in degrees meet in the output's system."""
+    degrees = Grid(-117.2, 0.0005, 50.1, -0.0005, 80, 60, "+proj=longlat +datum=WGS84")
+    geotiff.write_geotiff(str(tmp_path / "dem.tif"), synthetic.flat(spark, 60, 80, 100.0), degrees)
+    x, y = projections.of(UTM).forward(F.lit(-117.2), F.lit(50.1))
+    ux, uy = spark.range(1).select(x, y).first()
+    metres = Grid(ux - 500, 50.0, uy + 500, -50.0, 100, 100, UTM)
+    # the parameter is 1 west of the middle of the surface, else 2
+    mid = spark.range(1).select(projections.of(UTM).forward(F.lit(-117.18), F.lit(50.085))[0].alias("x")).first().x
+    cells = synthetic.flat(spark, 100, 100, 0.0).withColumn("v", F.when(F.col("px") * 50 + metres.ulx < mid, 1.0).otherwise(2.0))
+    geotiff.write_geotiff(str(tmp_path / "side.tif"), cells, metres)
+    line = spark.createDataFrame([(0, 0, 0, -117.19, 50.08), (0, 0, 1, -117.17, 50.09)], "fid long, part int, seq int, x double, y double")
+    geojson.write_geojson(str(tmp_path / "river.json"), vector.collected(line, "LineString"))
+    settings = {
+        "dem_filename": str(tmp_path / "dem.tif"), "max_area": 200_000.0, "max_tolerance": 50.0, "user_output_dir": str(tmp_path / "out"), "write_shp": False, "write_vtu": False, "use_input_prj": False, "wkt_out": UTM,
+        "parameter_files": {"side": {"file": str(tmp_path / "side.tif"), "method": "mode"}}, "constraints": {"river": {"file": str(tmp_path / "river.json")}},
+    }
+    r = pipeline.run(spark, config.from_mapping(settings))
+    assert r.grid.crs == UTM and not r.grid.geographic and 30 < r.grid.dx < 60
+    # about 2.86 km by 3.34 km
+    assert abs(r.params.agg(F.sum("area")).first()[0] / (0.04 * 0.03 * 111_319.49**2 * np.cos(np.radians(50.085))) - 1) < 0.02
+    t = spatial.corners(r.elem, r.vertex).join(r.params, "tri").withColumn("cx", (F.col("x0") + F.col("x1") + F.col("x2")) / 3)
+    wrong = t.where((F.abs(F.col("cx") - mid) > 500) & (F.col("side") != F.when(F.col("cx") < mid, 1.0).otherwise(2.0)))
+    assert wrong.count() == 0 and t.where("side = 1").count() > 5 and t.where("side = 2").count() > 5
+    ends = vector.exploded(geojson.read_geojson(spark, str(tmp_path / "out" / "mesh_lines.geojson")))
+    to = projections.between("EPSG:4326", UTM)
+    want = line.select(*[c.alias(n) for c, n in zip(to(F.col("x"), F.col("y")), "xy")]).orderBy("x").collect()
+    assert all(abs(a.x - b.x) < 1e-4 and abs(a.y - b.y) < 1e-4 for a, b in zip(ends.orderBy("x").collect(), want))
+    with pytest.raises(ValueError):
+        pipeline.run(spark, config.from_mapping(settings | {"wkt_out": "nowhere"}))
+
+
+def test_named_systems():
+    names = {
+        "EPSG:4326": projections.Geographic(), "GEOGCS[\"WGS 84\",DATUM[\"WGS_1984\"]]": projections.Geographic(), "EPSG:32611": projections.Utm(11), "EPSG:32733": projections.Utm(33, False),
+        "NAD83 / UTM zone 8N": projections.Utm(8), 'PROJCS["NAD_1983_UTM_Zone_8N",GEOGCS["GCS_North_American_1983"]]': projections.Utm(8), "+proj=utm +zone=8 +south +datum=WGS84": projections.Utm(8, False),
+        "ESRI:102008": projections.Albers(), projections.Albers().crs: projections.Albers(),
+        'PROJCS["x",GEOGCS["y"],PROJECTION["Albers_Conic_Equal_Area"],PARAMETER["longitude_of_center",-96],PARAMETER["Standard_Parallel_1",20],PARAMETER["Standard_Parallel_2",60],PARAMETER["latitude_of_center",40]]': projections.Albers(),
+    }
+    for name, p in names.items():
+        assert projections.of(name) == p
+    for name in ("local", "", 'PROJCS["Lambert",GEOGCS["WGS 84"]]', "EPSG:3857"):
+        with pytest.raises(ValueError):
+            projections.of(name)
+    assert projections.same("local", "local") and not projections.same("local", "other") and projections.same("EPSG:32608", "NAD83 / UTM zone 8N")
+
+
+def test_kernel_and_columns_agree_on_sizes(spark):
+    points = [(float(lon), float(lat)) for lon in (-180, -117.3, 0, 12.5, 179) for lat in (-89.9, -45, 0, 50.123, 90)]
+    found = spark.createDataFrame(points, "lon double, lat double").select("lon", "lat", *[c.alias(n) for c, n in zip(geometry.mollweide(F.col("lon"), F.col("lat")), "xy")]).collect()
+    for r in found:
+        x, y = refine.equal_area(r.lon, r.lat)
+        assert abs(x - r.x) < 1e-3 and abs(y - r.y) < 1e-3
+
+
+def test_windows_are_read_by_block(spark, tmp_path):
+    grid = Grid(0.0, 1.0, 50.0, -1.0, 70, 50, "local")
+    cells = synthetic.ridge(spark, 50, 70, 10.0)
+    geotiff.write_geotiff(str(tmp_path / "r.tif"), cells, grid, kind="f8")
+    whole = geotiff.read_cells(spark, str(tmp_path / "r.tif"))
+    assert values(whole.select("py", "px", "v"), "py", "px") == values(cells.select("py", "px", "v"), "py", "px")
+    part = geotiff.read_cells(spark, str(tmp_path / "r.tif"), (5, 7, 20, 9)).select("py", "px", "v")
+    assert values(part, "py", "px") == values(geotiff.read_window(whole, 5, 7, 20, 9).select("py", "px", "v"), "py", "px") and part.count() == 180
+    t = geotiff.Tiff(lambda at, n, data=(tmp_path / "r.tif").read_bytes(): data[at : at + n])
+    assert [y for _, y, _ in t.blocks((0, 7, 3, 2))] == [7, 8]
