@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terratess.operators.numbering import numbered, running
+
 
 def sides(elem: DataFrame) -> DataFrame:
     """``(tri, slot, a, b)``: the edge opposite each vertex, its ends in order."""
@@ -36,12 +38,10 @@ def edges(neigh: DataFrame) -> DataFrame:
 def adjacency(neigh: DataFrame) -> DataFrame:
     """The matrix as ``(i, j, value)``; values alternate 1 and 2 over entries in order of i, then slot.
 
-    A triangle with all neighbours has three entries, so an entry's number follows
-    from running counts per triangle; the window passes one row per triangle.
+    An entry's number follows from running counts over ranges of triangles.
     """
     rows = neigh.select("tri", F.filter(F.array("n0", "n1", "n2"), lambda x: x != -1).alias("js"))
-    before = F.coalesce(F.sum(F.size("js")).over(Window.orderBy("tri").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("before", before).select(F.col("tri").alias("i"), "before", F.posexplode("js").alias("k", "j")).select("i", "j", ((F.col("before") + F.col("k")) % 2 + 1).cast("int").alias("value"))
+    return running(rows, [F.col("tri").asc()], F.size("js"), "before").select(F.col("tri").alias("i"), "before", F.posexplode("js").alias("k", "j")).select("i", "j", ((F.col("before") + F.col("k")) % 2 + 1).cast("int").alias("value"))
 
 
 def bandwidth(pairs: DataFrame) -> DataFrame:
@@ -74,8 +74,9 @@ def relabelled(elem: DataFrame, neigh: DataFrame, order: DataFrame) -> tuple[Dat
 def partition_by_position(centres: DataFrame, parts: int) -> DataFrame:
     """``(tri, part)`` by recursive bisection of centres ``(tri, x, y)``: halves along alternating axes, or the larger share if odd.
 
-    Each level is one window per half; the first passes all triangles once. Ties
-    break by id, so parts differ by at most one triangle per level.
+    At each level triangles are numbered over ranges of (half, coordinate, id), so
+    no task holds a half. Ties break by id, so parts differ by at most one
+    triangle per level.
     """
     if parts <= 1:
         raise ValueError("a partition needs at least two parts")
@@ -83,21 +84,19 @@ def partition_by_position(centres: DataFrame, parts: int) -> DataFrame:
     level = 0
     left = parts
     while left > 1:
-        w = Window.partitionBy("first")
-        place = F.row_number().over(w.orderBy("x" if level % 2 == 0 else "y", "tri"))
+        placed = numbered(out, [F.col("first").asc(), F.col("x" if level % 2 == 0 else "y").asc(), F.col("tri").asc()], "_place")
+        halves = placed.groupBy("first").agg(F.min("_place").alias("_from"), F.count("*").alias("_n"))  # a row a part
         low = F.floor(F.col("many") / 2).cast("int")
-        cut = F.floor(F.count("*").over(w) * F.floor(F.col("many") / 2) / F.col("many"))
-        out = out.withColumn("_low", (F.col("many") > 1) & (place <= cut))
-        out = out.withColumns({"first": F.when((F.col("many") > 1) & ~F.col("_low"), F.col("first") + low).otherwise(F.col("first")), "many": F.when(F.col("many") <= 1, F.col("many")).when(F.col("_low"), low).otherwise(F.col("many") - low)}).drop("_low")
+        cut = F.floor(F.col("_n") * F.floor(F.col("many") / 2) / F.col("many"))
+        out = placed.join(F.broadcast(halves), "first").withColumn("_low", (F.col("many") > 1) & (F.col("_place") - F.col("_from") < cut))
+        out = out.drop("_place", "_from", "_n").withColumns({"first": F.when((F.col("many") > 1) & ~F.col("_low"), F.col("first") + low).otherwise(F.col("first")), "many": F.when(F.col("many") <= 1, F.col("many")).when(F.col("_low"), low).otherwise(F.col("many") - low)}).drop("_low")
         left, level = -(-left // 2), level + 1
     return out.select("tri", F.col("first").alias("part"))
 
 
 def partition_order(parts: DataFrame) -> DataFrame:
     """``(tri, part, position)``: by part, then id."""
-    sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return parts.join(F.broadcast(before), "part").select("tri", "part", (F.col("_before") + F.row_number().over(Window.partitionBy("part").orderBy("tri")) - 1).alias("position"))
+    return numbered(parts.select("tri", "part"), [F.col("part").asc(), F.col("tri").asc()], "position")
 
 
 def partition_sizes(parts: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Polygons and polylines: components, selection, simplification, clipping, planar graphs.
 
 Points are rows ``(fid, part, seq, x, y)`` wherever possible; kernels that walk a
-ring in order run once per ring in ``applyInPandas``.
+line in order do so over sorted batches of many lines and hold one line at a time.
 """
 
 from __future__ import annotations
@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from terratess.functions.projections import between, same
 from terratess.model import Grid
+from terratess.operators.batched import by_group
 from terratess.operators.components import components
+from terratess.operators.numbering import numbered
 from terratess.staging import stage
 
 
@@ -72,19 +74,24 @@ def rings(found: DataFrame, grid: Grid) -> DataFrame:
     """Outlines of components as closed rings ``(fid, part, seq, x, y)``, the outer ring first (part 0), straight runs merged.
 
     Sides between a cell and a cell of another component are directed with the
-    component on their right; tracing follows them per component.
+    component on their right; tracing follows them per component. A task holds the
+    outline of one component at a time, not its cells.
     """
-    here = found.select("px", "py", "component")
-    sides = []
-    for i, j, ends in ((0, -1, (0, 0, 1, 0)), (1, 0, (1, 0, 1, 1)), (0, 1, (1, 1, 0, 1)), (-1, 0, (0, 1, 0, 0))):
-        other = here.select((F.col("px") - i).alias("px"), (F.col("py") - j).alias("py"), F.col("component").alias("_other"))
-        open_ = here.join(other, ["px", "py"], "left").where(~F.col("component").eqNullSafe(F.col("_other")))
-        sides.append(open_.select("component", *[(F.col(c) + k).alias(n) for c, k, n in zip(("px", "py", "px", "py"), ends, ("ax", "ay", "bx", "by"))]))
-    every = sides[0].unionByName(sides[1]).unionByName(sides[2]).unionByName(sides[3])
-
-    def trace(group: pd.DataFrame) -> pd.DataFrame:
+    # each side of a cell is met once from either hand: a and b are the components left (or above) and right (or below) of it
+    cell = found.select("px", "py", F.col("component").cast("long").alias("c"))
+    side = lambda kind, i, j, hand: F.struct(F.lit(kind).alias("kind"), (F.col("px") + i).alias("x"), (F.col("py") + j).alias("y"), F.when(F.lit(hand == "a"), F.col("c")).alias("a"), F.when(F.lit(hand == "b"), F.col("c")).alias("b"))
+    each = cell.select(F.inline(F.array(side(0, 1, 0, "a"), side(0, 0, 0, "b"), side(1, 0, 1, "a"), side(1, 0, 0, "b"))))
+    met = each.groupBy("kind", "x", "y").agg(F.max("a").alias("a"), F.max("b").alias("b")).where(~F.col("a").eqNullSafe(F.col("b")))
+    x, y, upright = F.col("x"), F.col("y"), F.col("kind") == 0
+    end = lambda component, ax, ay, bx, by: F.struct(F.col(component).alias("fid"), ax.cast("int").alias("ax"), ay.cast("int").alias("ay"), bx.cast("int").alias("bx"), by.cast("int").alias("by"))
+    one, none = F.lit(1), F.lit(0)
+    first = end("a", F.when(upright, x).otherwise(x + one), y + none, x + none, F.when(upright, y + one).otherwise(y))
+    second = end("b", x + none, F.when(upright, y + one).otherwise(y), F.when(upright, x).otherwise(x + one), y + none)
+    every = met.select(F.inline(F.array(first, second))).where("fid is not null")
+
+    def trace(group: list[np.ndarray]) -> list[np.ndarray]:
         after: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for ax, ay, bx, by in sorted(group[["ax", "ay", "bx", "by"]].itertuples(index=False, name=None), reverse=True):
+        for ax, ay, bx, by in zip(*(c[::-1].tolist() for c in group[1:])):
             after.setdefault((ax, ay), []).append((bx, by))
         out = []
         for start in sorted(after, key=lambda p: (p[1], p[0])):
@@ -103,13 +110,13 @@ def rings(found: DataFrame, grid: Grid) -> DataFrame:
                 n = len(ring)
                 ring = [p for k, p in enumerate(ring) if (p[0] - ring[k - 1][0]) * (ring[(k + 1) % n][1] - p[1]) != (p[1] - ring[k - 1][1]) * (ring[(k + 1) % n][0] - p[0])]
                 out.append([*ring, ring[0]])
-        size = lambda r: abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:])))
-        out.sort(key=size, reverse=True)
-        fid = int(group["component"].iloc[0])
-        rows = [(fid, k, s, grid.ulx + x * grid.dx, grid.uly + y * grid.dy) for k, ring in enumerate(out) for s, (x, y) in enumerate(ring)]
-        return pd.DataFrame(rows, columns=["fid", "part", "seq", "x", "y"])
+        out.sort(key=lambda r: abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:]))), reverse=True)
+        sizes = [len(r) for r in out]
+        xy = np.array([p for r in out for p in r], dtype=np.float64)
+        seq = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+        return [np.full(len(xy), group[0][0]), np.repeat(np.arange(len(out), dtype=np.int32), sizes), seq, grid.ulx + xy[:, 0] * grid.dx, grid.uly + xy[:, 1] * grid.dy]
 
-    return every.groupBy("component").applyInPandas(trace, "fid long, part int, seq int, x double, y double")
+    return by_group(every, ["fid"], ["ax", "ay", "bx", "by"], trace, "fid long, part int, seq int, x double, y double")
 
 
 def polygonize(cells: DataFrame, grid: Grid, value: str = "v") -> DataFrame:
@@ -136,23 +143,22 @@ def merged(*features: DataFrame) -> DataFrame:
     for k, f in enumerate(features):
         f = f.withColumn("source", F.lit(k))
         out = f if out is None else out.unionByName(f)
-    ids = out.select("source", "fid").distinct().withColumn("id", F.row_number().over(Window.orderBy("source", "fid")) - 1)
+    ids = numbered(out.select("source", "fid").distinct(), [F.col("source").asc(), F.col("fid").asc()], "id")
     return out.join(ids, ["source", "fid"]).select(F.col("id").cast("long").alias("fid"), "part", "seq", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
 
 
 def boundary_graph(line: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A closed line as vertices ``(vid, x, y)`` and segments ``(sid, v0, v1)``; a repeated last point is dropped and the loop is closed.
-
-    One ring's points pass one window; a boundary is a single ring by definition.
-    """
-    w = Window.orderBy("seq")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    n = F.count("*").over(whole)
-    closing = (F.row_number().over(w) == n) & (n > 1) & (F.col("x") == F.first("x").over(whole)) & (F.col("y") == F.first("y").over(whole))
-    open_ = line.withColumn("_closing", closing).where(~F.col("_closing"))
-    vertex = open_.select((F.row_number().over(w) - 1).cast("int").alias("vid"), "x", "y")
-    order = Window.orderBy("vid")
-    segment = vertex.select(F.col("vid").alias("sid"), F.col("vid").alias("v0"), F.coalesce(F.lead("vid").over(order), F.lit(0)).alias("v1"))
+    """A closed line ``(seq, x, y)`` as vertices ``(vid, x, y)`` and segments ``(sid, v0, v1)``; a repeated last point is dropped and the loop is closed. Points are numbered by ranges of ``seq``."""
+    placed = numbered(line.select("seq", "x", "y"), [F.col("seq").asc()], "vid")
+    end = lambda f: f(F.struct("vid", "x", "y"))
+    ends = placed.agg(end(F.min).alias("a"), end(F.max).alias("b")).first()
+    a, b = ends["a"], ends["b"]
+    if a is None:
+        vertex = placed.select(F.col("vid").cast("int").alias("vid"), "x", "y")
+        return vertex, vertex.select(F.col("vid").alias("sid"), F.col("vid").alias("v0"), F.col("vid").alias("v1"))
+    last = b["vid"] - (b["vid"] > 0 and (a["x"], a["y"]) == (b["x"], b["y"]))
+    vertex = placed.where(F.col("vid") <= last).select(F.col("vid").cast("int").alias("vid"), "x", "y")
+    segment = vertex.select(F.col("vid").alias("sid"), F.col("vid").alias("v0"), F.when(F.col("vid") == last, F.lit(0)).otherwise(F.col("vid") + 1).cast("int").alias("v1"))
     return vertex, segment
 
 
@@ -162,6 +168,14 @@ def constraint_segments(points: DataFrame) -> DataFrame:
     return points.select("fid", "part", "seq", F.col("x").alias("x0"), F.col("y").alias("y0"), F.lead("x").over(w).alias("x1"), F.lead("y").over(w).alias("y1")).where("x1 is not null")
 
 
+_LINES = "fid long, part int, seq int, x double, y double"
+
+
+def _points(points: DataFrame) -> DataFrame:
+    kinds = {"fid": "long", "part": "int", "seq": "int", "x": "double", "y": "double"}
+    return points.select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()])
+
+
 def douglas_peucker(xy: np.ndarray, tolerance: float) -> np.ndarray:
     """Which points stay; the first and last always do. A closed ring is split at the point farthest from its start."""
     keep = np.zeros(len(xy), dtype=bool)
@@ -190,16 +204,14 @@ def douglas_peucker(xy: np.ndarray, tolerance: float) -> np.ndarray:
 def simplify(points: DataFrame, tolerance: float) -> DataFrame:
     """Douglas-Peucker on every line; a line that collapses to a point is an error, as no boundary would be left."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("seq")
-        out = group[douglas_peucker(group[["x", "y"]].to_numpy(), tolerance)].copy()
-        if len(out) > 1 and len(out.drop_duplicates(["x", "y"])) < 2:
+    def run(group: list[np.ndarray]) -> list[np.ndarray]:
+        xy = np.column_stack(group[3:5])
+        out = xy[douglas_peucker(xy, tolerance)]
+        if len(out) > 1 and (out == out[0]).all():
             raise ValueError("the tolerance leaves no geometry")
-        out["seq"] = np.arange(len(out), dtype=np.int32)
-        return out
+        return [np.full(len(out), group[0][0]), np.full(len(out), group[1][0]), np.arange(len(out), dtype=np.int32), out[:, 0], out[:, 1]]
 
-    slim = points.select("fid", "part", "seq", "x", "y")
-    return slim.groupBy("fid", "part").applyInPandas(run, slim.schema)
+    return by_group(_points(points), ["fid", "part"], ["seq"], run, _LINES)
 
 
 def offset_ring(xy: np.ndarray, distance: float) -> np.ndarray:
@@ -228,14 +240,11 @@ def offset_ring(xy: np.ndarray, distance: float) -> np.ndarray:
 def buffer(points: DataFrame, distance: float) -> DataFrame:
     """Offsets every ring; rings that vanish give no rows."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("seq")
-        xy = group[["x", "y"]].to_numpy()
-        out = offset_ring(xy, distance)
-        fid, part = int(group["fid"].iloc[0]), int(group["part"].iloc[0])
-        return pd.DataFrame({"fid": np.full(len(out), fid), "part": np.full(len(out), part, dtype=np.int32), "seq": np.arange(len(out), dtype=np.int32), "x": out[:, 0], "y": out[:, 1]})
+    def run(group: list[np.ndarray]) -> list[np.ndarray]:
+        out = offset_ring(np.column_stack(group[3:5]), distance)
+        return [np.full(len(out), group[0][0]), np.full(len(out), group[1][0]), np.arange(len(out), dtype=np.int32), out[:, 0], out[:, 1]]
 
-    return points.groupBy("fid", "part").applyInPandas(run, "fid long, part int, seq int, x double, y double")
+    return by_group(_points(points), ["fid", "part"], ["seq"], run, _LINES)
 
 
 def clip_lines(points: DataFrame, ring: list[tuple[float, float]]) -> DataFrame:

@@ -58,17 +58,22 @@ def zonal(triangles: DataFrame, cells: DataFrame, grid: Grid, columns: dict[str,
     return out.fillna(0, subset=counts) if counts else out
 
 
-def classified(table: DataFrame, name: str, inputs: Sequence[str], classifier: Callable[..., Column], drop_inputs: bool = True) -> DataFrame:
-    """Applies ``classifier`` to columns; it returns a Column (preferred: built from ``when``) or is a plain function of numbers.
+def plain(classifier: Callable[..., float]) -> Callable[..., Column]:
+    """A classifier of columns from a function of numbers (None where a value is missing) that must not return None; it runs over Arrow batches."""
 
-    A plain function runs as an Arrow-batched function and must not return None.
-    """
-    try:
-        value = classifier(*[F.col(c) for c in inputs])
-    except Exception:
-        value = None
+    def each(*values: pd.Series) -> pd.Series:
+        rows = zip(*(v.astype(object).where(v.notna(), None) for v in values))
+        return pd.Series([_called(classifier, r) for r in rows], dtype="float64")
+
+    batched: Callable[..., Column] = F.pandas_udf(each, "double")
+    return batched
+
+
+def classified(table: DataFrame, name: str, inputs: Sequence[str], classifier: Callable[..., Column], drop_inputs: bool = True) -> DataFrame:
+    """Applies ``classifier`` to columns: a function of columns that returns a column, preferably built from ``when``; ``plain`` makes one of a function of numbers."""
+    value = classifier(*[F.col(c) for c in inputs])
     if not isinstance(value, Column):
-        value = F.udf(lambda *v: _called(classifier, v), "double", useArrow=True)(*[F.col(c) for c in inputs])
+        raise TypeError("a classifier returns a column; wrap a function of numbers in plain()")
     out = table.withColumn(name, value)
     return out.drop(*[c for c in inputs if c != name]) if drop_inputs else out
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from terratess.functions.projections import E1, E2, FLATTENING, A
 from terratess.plans.adapter import CTES, DX, DY, ULX, ULY
-from terratess.plans.queries import CRITERIA
+from terratess.plans.queries import CRITERIA, DEGREES
 
 
 def _q(body: str, ctes: str = "") -> str:
@@ -115,7 +116,64 @@ reach(run, root) USING KEY (run) AS (
 """
 
 
+_MAPPED = "mapped AS (SELECT c_custkey, c_custkey % 50 / 10.0::DOUBLE - 137.5 AS lon, c_custkey % 300 / 10.0::DOUBLE + 40.0 AS lat FROM customer)"
+
+
+def _utm(lon: str, lat: str, zone: int, source: str) -> str:
+    """Transverse Mercator: the conformal latitude, then Krueger's series."""
+    n = FLATTENING / (2 - FLATTENING)
+    a = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280]
+    radius = 0.9996 * A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    d = lambda v: f"{v!r}::DOUBLE"
+    add = lambda f, g, first: " + ".join([first, *[f"{d(c)} * {f}({2 * k} * xi) * {g}({2 * k} * eta)" for k, c in enumerate(a, 1)]])
+    return f"""
+utm1 AS (SELECT *, sinh(atanh(sin(radians({lat}))) - {d(E1)} * atanh({d(E1)} * sin(radians({lat})))) AS t, radians({lon} - ({6 * zone - 183})) AS lam FROM {source}),
+utm2 AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM utm1),
+utm AS (SELECT *, 500000 + {d(radius)} * ({add('cos', 'sinh', 'eta')}) AS utm_x, {d(radius)} * ({add('sin', 'cosh', 'xi')}) AS utm_y FROM utm2)"""
+
+
+def _albers(lon: str, lat: str, source: str) -> str:
+    """The equal-area cone between two parallels, by the textbook formulas, constants and all in SQL."""
+    e, e2, s = f"{E1!r}::DOUBLE", f"{E2!r}::DOUBLE", lambda v: f"sin(radians({v}))"
+    q = lambda v: f"((1 - {e2}) * ({s(v)} / (1 - {e2} * {s(v)} ** 2) - ln((1 - {e} * {s(v)}) / (1 + {e} * {s(v)})) / (2 * {e})))"
+    m = lambda v: f"(cos(radians({v})) / sqrt(1 - {e2} * {s(v)} ** 2))"
+    return f"""
+cone1 AS (SELECT ({m('20.0::DOUBLE')} ** 2 - {m('60.0::DOUBLE')} ** 2) / ({q('60.0::DOUBLE')} - {q('20.0::DOUBLE')}) AS n),
+cone2 AS (SELECT n, {m('20.0::DOUBLE')} ** 2 + n * {q('20.0::DOUBLE')} AS c FROM cone1),
+cone AS (SELECT n, c, {A!r}::DOUBLE * sqrt(c - n * {q('40.0::DOUBLE')}) / n AS rho0 FROM cone2),
+albers AS (SELECT o.*, {A!r}::DOUBLE * sqrt(c - n * {q(lat)}) / n * sin(n * radians({lon} + 96)) AS albers_x, rho0 - {A!r}::DOUBLE * sqrt(c - n * {q(lat)}) / n * cos(n * radians({lon} + 96)) AS albers_y FROM {source} o, cone)"""
+
+
+_CENTRES = f"""
+target AS (SELECT px::INTEGER AS px, py::INTEGER AS py, {DEGREES.ulx}::DOUBLE + (px + 0.5) * {DEGREES.dx}::DOUBLE AS lon, {DEGREES.uly}::DOUBLE + (py + 0.5) * ({DEGREES.dy}::DOUBLE) AS lat
+    FROM range({DEGREES.width}) a(px), range({DEGREES.height}) b(py))
+"""
+
+#: Mollweide metres of the mesh's vertices, were they degrees; the auxiliary angle by Newton steps.
+_EQUAL_AREA = """
+degree AS (SELECT vid, (x - 1000) / 100000 - 120 AS lon, (y - 90000) / 100000 + 50 AS lat FROM vertex),
+angle AS (
+    SELECT vid, lon, list_reduce(list_prepend(radians(lat), list_transform(range(12), lambda k: radians(lat))),
+        lambda t, phi: t - (2 * t + sin(2 * t) - pi() * sin(phi)) / (2 + 2 * cos(2 * t))) AS t FROM degree),
+equal AS (SELECT vid, 2 * sqrt(2.0::DOUBLE) / pi() * 6378137.0::DOUBLE * radians(lon) * cos(t) AS x, sqrt(2.0::DOUBLE) * 6378137.0::DOUBLE * sin(t) AS y FROM angle)
+"""
+
+#: Cubic B-spline weights of the 4 x 4 cells around centres of cells half as wide.
+_SPLINE = """
+fine AS (SELECT px::INTEGER AS px, py::INTEGER AS py, (px + 0.5::DOUBLE) / 2 - 0.5 AS u, (py + 0.5::DOUBLE) / 2 - 0.5 AS v FROM size, range(2 * w) a(px), range(2 * w) b(py)),
+offsets AS (SELECT i::INTEGER AS i, j::INTEGER AS j FROM range(-1, 3) a(i), range(-1, 3) b(j)),
+near AS (
+    SELECT f.px, f.py, d.z, abs(u - d.px) AS dx, abs(v - d.py) AS dy FROM fine f, offsets o JOIN dem d ON d.px = floor(f.u)::INTEGER + o.i AND d.py = floor(f.v)::INTEGER + o.j),
+weighed AS (
+    SELECT px, py, z, CASE WHEN dx < 1 THEN (4 - 6 * dx ** 2 + 3 * dx ** 3) / 6 ELSE (2 - dx) ** 3 / 6 END * CASE WHEN dy < 1 THEN (4 - 6 * dy ** 2 + 3 * dy ** 3) / 6 ELSE (2 - dy) ** 3 / 6 END AS w FROM near)
+"""
+
+
 ORACLES: dict[str, str] = {
+    "geographic_area": _q("SELECT tri, round(abs((b.x - a.x) * (c.y - a.y) - (c.x - a.x) * (b.y - a.y)) / 2, 1) AS area FROM elem JOIN equal a ON a.vid = v0 JOIN equal b ON b.vid = v1 JOIN equal c ON c.vid = v2", _EQUAL_AREA),
+    "smooth": _q("SELECT px, py, round(sum(w * z) / sum(w), 6) AS v FROM weighed WHERE w > 0 GROUP BY px, py", _SPLINE),
+    "projected_points": f"WITH {_MAPPED}, {_utm('lon', 'lat', 8, 'mapped')}, {_albers('lon', 'lat', 'utm')} SELECT c_custkey, round(albers_x, 3) AS albers_x, round(albers_y, 3) AS albers_y, round(utm_x, 3) AS utm_x, round(utm_y, 3) AS utm_y FROM albers",
+    "warp_projected": _q("SELECT u.px, u.py, d.z AS v FROM utm u JOIN dem d ON d.px = floor((utm_x - 499000) / 16)::INTEGER AND d.py = floor((utm_y - 5541000) / -16)::INTEGER", _CENTRES + "," + _utm("lon", "lat", 8, "target")),
     "zonal_mean": _zonal("round(avg(z), 6) AS mean"),
     "zonal_min": _zonal("min(z) AS min"),
     "zonal_max": _zonal("max(z) AS max"),
@@ -171,7 +229,7 @@ ORACLES: dict[str, str] = {
     "largest_component": _q(f"SELECT component, n_cells, n_cells * {DX * -DY}::DOUBLE AS area FROM (SELECT root AS component, count(*) AS n_cells FROM runs JOIN reach USING (run) GROUP BY root) ORDER BY n_cells DESC, component LIMIT 1", _regions("1")),
     "polygon_areas": _q(f"SELECT root AS component, count(*) * {DX * -DY}::DOUBLE AS area FROM runs JOIN reach USING (run) GROUP BY root", _regions("lc % 2")),
     "longest_line": _q("SELECT l.* FROM line l JOIN (SELECT fid FROM line GROUP BY fid ORDER BY count(*) DESC, fid LIMIT 1) USING (fid)", _LINE),
-    "pslg_segments": _q("SELECT vid AS sid, vid AS v0, CASE WHEN vid = (SELECT max(vid) FROM v) THEN 0 ELSE vid + 1 END AS v1 FROM v", _LINE + ", v AS (SELECT (row_number() OVER (ORDER BY fid, seq) - 1)::INTEGER AS vid FROM line WHERE fid % 100 = 1)"),
+    "pslg_segments": _q("SELECT vid AS sid, vid AS v0, CASE WHEN vid = (SELECT max(vid) FROM v) THEN 0 ELSE vid + 1 END AS v1 FROM v", _LINE + ", v AS (SELECT (row_number() OVER (ORDER BY fid, seq) - 1)::INTEGER AS vid FROM line)"),
     "constraint_segments": _q("SELECT * FROM (SELECT fid, seq, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM line WINDOW w AS (PARTITION BY fid ORDER BY seq)) WHERE x1 IS NOT NULL", _LINE),
     "merged_constraints": _q("SELECT dense_rank() OVER (ORDER BY fid % 2, fid) - 1 AS fid, seq, round(x, 5) AS x, round(y, 5) AS y FROM line", _LINE),
     "ridge_dem": "SELECT px::INTEGER AS px, py::INTEGER AS py, round(2 * 300.0::DOUBLE / (1 + ((py - 32.0::DOUBLE) / 60.0) ** 2) - 300, 6) AS v FROM range(64) a(px), range(64) b(py)",

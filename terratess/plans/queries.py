@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terratess.functions import geometry as g
-from terratess.functions.projections import Albers, Utm
+from terratess.functions.projections import Albers, Utm, between
 from terratess.model import Grid
 from terratess.operators import acceptance, metrics, params, raster, spatial, topology, vector, zonal
+from terratess.operators.numbering import numbered
 from terratess.plans import adapter
 from terratess.sources import synthetic
 
@@ -114,7 +115,7 @@ def zonal_user_method(s: Scene) -> DataFrame:
 @query
 def classifier_callable(s: Scene) -> DataFrame:
     found = s.zonal(height=("z", "min"), kind=("lc", "mode"))
-    return zonal.classified(found, "class", ["height", "kind"], _plain_rule)
+    return zonal.classified(found, "class", ["height", "kind"], zonal.plain(_plain_rule))
 
 
 def _plain_rule(height, kind):
@@ -156,7 +157,7 @@ def geographic_area(s: Scene) -> DataFrame:
     lat = lambda k: (F.col(f"y{k}") - 90000) / 100000 + 50
     xy = [c for k in range(3) for c in g.mollweide(lon(k), lat(k))]
     flat = s.triangles.select("tri", *[c.alias(f"m{i}") for i, c in enumerate(xy)])
-    return _round(flat.select("tri", g.area(*[F.col(f"m{i}") for i in range(6)]).alias("area")), "area", places=3)
+    return _round(flat.select("tri", g.area(*[F.col(f"m{i}") for i in range(6)]).alias("area")), "area", places=1)
 
 
 @query
@@ -213,8 +214,8 @@ def badness_uniform(s: Scene) -> DataFrame:
 def refinement_queue(s: Scene) -> DataFrame:
     """The worst triangles first; the place stands in a column."""
     bad = acceptance.badness(s.elem, s.vertex, s.cells, s.grid, _criteria()).where("badness <> 'NOT_BAD'")
-    order = Window.orderBy(F.desc("area"), F.round("sine2", 9), "tri")
-    return bad.select("tri", "area", F.row_number().over(order).alias("place"))
+    placed = numbered(bad, [F.desc("area"), F.round("sine2", 9).asc(), F.col("tri").asc()], "place", first=1)
+    return placed.select("tri", "area", F.col("place").cast("int").alias("place"))
 
 
 @query
@@ -390,8 +391,8 @@ def longest_line(s: Scene) -> DataFrame:
 
 @query
 def pslg_segments(s: Scene) -> DataFrame:
-    line = _lines(s).where("fid % 100 = 1").select(F.row_number().over(Window.orderBy("fid", "seq")).alias("seq"), "x", "y")
-    return vector.boundary_graph(line)[1]
+    """All lines, one behind the other, as one ring."""
+    return vector.boundary_graph(_lines(s).select(F.struct("fid", "seq").alias("seq"), "x", "y"))[1]
 
 
 @query
@@ -430,6 +431,31 @@ def flat_dem(s: Scene) -> DataFrame:
     return synthetic.flat(s.spark, 16, 16)
 
 
+def _mapped(s: Scene) -> DataFrame:
+    return adapter.read(s.spark, s.sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 50 / 10.0 - 137.5).alias("lon"), (F.col("c_custkey") % 300 / 10.0 + 40.0).alias("lat"))
+
+
+@query
+def projected_points(s: Scene) -> DataFrame:
+    """Customers on the map in UTM and Albers metres."""
+    c, out = _mapped(s), {}
+    for name, p in (("albers", Albers()), ("utm", Utm(8))):
+        x, y = p.forward(F.col("lon"), F.col("lat"))
+        out |= {f"{name}_x": x, f"{name}_y": y}
+    return _round(c.select("c_custkey", *[v.alias(k) for k, v in out.items()]), *out, places=3)
+
+
+#: A grid in degrees over the scene, were it in zone 8.
+DEGREES = Grid(-135.02, 0.0002, 50.03, -0.0002, 200, 120, "+proj=longlat +datum=WGS84")
+
+
+@query
+def warp_projected(s: Scene) -> DataFrame:
+    """The surface, as if it lay in UTM zone 8, on a grid in degrees."""
+    metres = Grid(499000.0, s.grid.dx, 5541000.0, s.grid.dy, s.w, s.w, Utm(8).crs)
+    return raster.warp(s.spark, s.layer(), metres, DEGREES, between(DEGREES.crs, metres.crs))
+
+
 @query
 def projection_round_trip(s: Scene) -> DataFrame:
     """The largest error of forward and inverse over customers placed on the map, rounded to a tenth of a millidegree."""
