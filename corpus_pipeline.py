@@ -20,14 +20,14 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """One text of each near-duplicate group: that of the smallest id. Rows go only for their own texts, so other texts of an id stay; equal rows of an id are one, and rows without an id all stay."""
     ship(spark)
     if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        found = op08_minhash.near_duplicates(docs)
+        found = op08_minhash.of_unique_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
         gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"))
         return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["gone_id"], "left_anti")
     # ids repeat: each text of an id is a document of its own, numbered in the order of ids
     rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("words"), F.struct(*docs.columns).alias("row"))
     once = rows.where("id is not null").dropDuplicates(["id", "words"]).orderBy("id", "words")
     numbered = stage(once.select(F.monotonically_increasing_id().alias("place"), "row"), "numbered")
-    found = op08_minhash.near_duplicates(numbered.select(F.col("place").alias("doc_id"), F.col("row")["text"].alias("text")))
+    found = op08_minhash.of_unique_ids(numbered.select(F.col("place").alias("doc_id"), F.col("row")["text"].cast("string").alias("text")))
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone_place"))
     left = numbered.join(gone.hint("shuffle_hash"), F.col("place") == F.col("gone_place"), "left_anti")
     return left.unionByName(rows.where("id is null").select(F.lit(None).cast("long").alias("place"), "row")).select("row.*")
