@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import logging
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +20,9 @@ from terratess.sources import geojson, geotiff, mesh_json, shapefile, triangle_f
 from terratess.staging import stage
 
 
+log = logging.getLogger(__name__)
+
+
 @dataclass
 class Result:
     grid: Grid
@@ -24,6 +31,8 @@ class Result:
     neigh: DataFrame
     params: DataFrame
     initial: DataFrame | None
+    #: Seconds of each step.
+    took: dict[str, float] = field(default_factory=dict)
 
 
 def surface(spark: SparkSession, cfg: Config) -> tuple[DataFrame, Grid]:
@@ -116,33 +125,55 @@ def parameterise(triangles: DataFrame, cells: DataFrame, grid: Grid, wanted: dic
     return out.join(found, "tri")
 
 
+@contextmanager
+def timed(took: dict[str, float], step: str) -> Iterator[None]:
+    began = time.perf_counter()
+    yield
+    took[step] = time.perf_counter() - began
+    log.info("%s took %.2f s", step, took[step])
+
+
+def mesh_of(spark: SparkSession, cfg: Config, dem: DataFrame, cells: DataFrame, grid: Grid, stem: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The refined mesh as (vertex, elem, neigh); outline, inner lines and mesh are written beside it."""
+    outline = domain(spark, dem, grid, cfg)
+    ring = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(outline)], "seq int, x double, y double")
+    triangle_files.write_poly(f"{stem}.poly", *vector.boundary_graph(ring))
+    lines = constraint_lines(spark, cfg, outline, grid.crs)
+    inner: dict = {}
+    if lines is not None:
+        geojson.write_geojson(f"{stem}_lines.geojson", vector.collected(lines, "MultiLineString"), grid.crs)
+        for r in lines.orderBy("fid", "part", "seq").collect():  # the kernel holds the planar graph anyway
+            inner.setdefault((r.fid, r.part), []).append((r.x, r.y))
+    mesh = refine.refine(spark, outline, cells, grid, criteria(cfg, grid), list(inner.values()), cfg.lloyd_itr, cfg.most_vertices)
+    vertex, elem, neigh = refine.frames(spark, mesh)
+    triangle_files.write_triangles(stem, vertex, elem, neigh)
+    return vertex, elem, neigh
+
+
 def run(spark: SparkSession, cfg: Config) -> Result:
     ship(spark)
-    dem, grid = surface(spark, cfg)
-    cells = layers(spark, dem, grid, cfg)
+    took: dict[str, float] = {}
     stem = f"{cfg.output_dir.rstrip('/')}/mesh"
-    if cfg.reuse_mesh:
-        vertex, elem, neigh = triangle_files.read_node(spark, f"{stem}.node"), triangle_files.read_ele(spark, f"{stem}.ele"), triangle_files.read_neigh(spark, f"{stem}.neigh")
-    else:
-        outline = domain(spark, dem, grid, cfg)
-        ring = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(outline)], "seq int, x double, y double")
-        triangle_files.write_poly(f"{stem}.poly", *vector.boundary_graph(ring))
-        lines = constraint_lines(spark, cfg, outline, grid.crs)
-        inner: dict = {}
-        if lines is not None:
-            geojson.write_geojson(f"{stem}_lines.geojson", vector.collected(lines, "MultiLineString"), grid.crs)
-            for r in lines.orderBy("fid", "part", "seq").collect():  # the kernel holds the planar graph anyway
-                inner.setdefault((r.fid, r.part), []).append((r.x, r.y))
-        mesh = refine.refine(spark, outline, cells, grid, criteria(cfg, grid), list(inner.values()), cfg.lloyd_itr, cfg.most_vertices)
-        vertex, elem, neigh = refine.frames(spark, mesh)
-        triangle_files.write_triangles(stem, vertex, elem, neigh)
-    heights = refine.repair_heights(refine.vertex_heights(vertex, cells, grid), elem)
-    triangles = spatial.corners(elem, heights)
-    params = parameterise(triangles, cells, grid, cfg.parameter_files)
-    params = params.drop(*[n for n, p in cfg.parameter_files.items() if p.drop])
-    initial = parameterise(triangles, cells, grid, cfg.initial_conditions).drop("area", "id") if cfg.initial_conditions else None
-    result = Result(grid, heights, elem, neigh, stage(params, "params"), initial)
-    write(result, stem, cfg)
+    with timed(took, "rasters"):
+        dem, grid = surface(spark, cfg)
+        cells = layers(spark, dem, grid, cfg)
+        geotiff.write_geotiff(f"{stem}_surface.tif", dem, grid)
+    with timed(took, "mesh"):
+        if cfg.reuse_mesh:
+            vertex, elem, neigh = triangle_files.read_node(spark, f"{stem}.node"), triangle_files.read_ele(spark, f"{stem}.ele"), triangle_files.read_neigh(spark, f"{stem}.neigh")
+        else:
+            vertex, elem, neigh = mesh_of(spark, cfg, dem, cells, grid, stem)
+    with timed(took, "parameters"):
+        heights = refine.repair_heights(refine.vertex_heights(vertex, cells, grid), elem)
+        triangles = spatial.corners(elem, heights)
+        params = parameterise(triangles, cells, grid, cfg.parameter_files)
+        params = params.drop(*[n for n, p in cfg.parameter_files.items() if p.drop])
+        initial = parameterise(triangles, cells, grid, cfg.initial_conditions).drop("area", "id") if cfg.initial_conditions else None
+        result = Result(grid, heights, elem, neigh, stage(params, "params"), initial, took)
+    with timed(took, "files"):
+        write(result, stem, cfg)
+    if cfg.verbose:
+        print("\n".join(f"{step}: {s:.2f} s" for step, s in took.items()))
     return result
 
 

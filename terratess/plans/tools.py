@@ -1,6 +1,6 @@
 """Tools on finished meshes: statistics, permutation, parameter merge, conversions.
 
-``python -m terratess.plans.tools stats|permute|merge|vtu|shp ...`` runs one.
+``python -m terratess.plans.tools stats|permute|merge|vtu|shp|update ...`` runs one.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terratess.functions.geometry import mean_z
-from terratess.operators import params, raster, spatial, topology
+from terratess.operators import params, raster, spatial, topology, vector
 from terratess.shipping import ship
 from terratess.sources import geotiff, mesh_json, report, shapefile, vtu
 
@@ -29,6 +29,25 @@ def stats(spark: SparkSession, mesh: str, dem: str, out: str) -> DataFrame:
     return params.cells_against_triangles(cells.withColumnRenamed("z", "v"), m["elem"])
 
 
+def update_shapefile(spark: SparkSession, stem: str, dem: str, out: str) -> DataFrame:
+    """A mesh's shapefile with ``error, area, min_angle, max_angle`` of each triangle against the raster, which it had before or not; triangles against valid cells.
+
+    Triangles of shapefiles have no shared vertices: each has three of its own.
+    """
+    ship(spark)
+    points = vector.exploded(shapefile.read_shapefile(spark, stem)).where("part = 0 and seq < 3").withColumn("vid", (F.col("fid") * 3 + F.col("seq")).cast("int"))
+    elem = points.select(F.col("fid").cast("int").alias("tri")).distinct().select("tri", *[(F.col("tri") * 3 + k).alias(f"v{k}") for k in range(3)])
+    grid = geotiff.read_grid(spark, dem)
+    cells = geotiff.read_cells(spark, dem).select("px", "py", F.col("v").alias("z"))
+    vertex = points.select("vid", "x", "y", F.lit(0.0).alias("z"))
+    found = params.mesh_report(elem, vertex, cells, grid)
+    fields, held = shapefile.read_attributes(spark, stem)
+    fields = [f for f in fields if f not in found.columns]
+    table = spatial.corners(elem, vertex).join(found, "tri").join(held.select("tri", *fields), "tri", "left")
+    shapefile.write_triangles_shapefile(out, table, [*fields, "error", "area", "min_angle", "max_angle"], shapefile.read_crs(spark, stem))
+    return params.cells_against_triangles(cells.withColumnRenamed("z", "v"), elem)
+
+
 def order(m: dict[str, DataFrame], kind: str, parts: int = 2) -> tuple[DataFrame, DataFrame | None]:
     """``(tri, position)`` and for partitions their sizes."""
     if kind == "rcm":
@@ -91,7 +110,7 @@ def invalid_vertices(spark: SparkSession, mesh: str, dem: str) -> DataFrame:
 def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__)
     kinds = parser.add_subparsers(dest="tool", required=True)
-    for name, options in {"stats": ("mesh", "dem", "out"), "permute": ("mesh", "out"), "merge": (), "vtu": ("mesh", "param", "out"), "shp": ("mesh", "stem")}.items():
+    for name, options in {"stats": ("mesh", "dem", "out"), "permute": ("mesh", "out"), "merge": (), "vtu": ("mesh", "param", "out"), "shp": ("mesh", "stem"), "update": ("stem", "dem", "out")}.items():
         p = kinds.add_parser(name)
         for o in options:
             p.add_argument(o)
@@ -105,7 +124,7 @@ def main(args: list[str] | None = None) -> None:
             p.add_argument("--param")
     a = vars(parser.parse_args(args))
     spark = SparkSession.builder.getOrCreate()
-    run = {"stats": stats, "permute": permute, "merge": merge, "vtu": to_vtu, "shp": to_shapefile}[a.pop("tool")]
+    run = {"stats": stats, "permute": permute, "merge": merge, "vtu": to_vtu, "shp": to_shapefile, "update": update_shapefile}[a.pop("tool")]
     found = run(spark, **a)
     if isinstance(found, DataFrame):
         found.show()

@@ -7,13 +7,10 @@ from pyspark.sql import functions as F
 
 from terratess.sources.files import ordered, write_file
 
-_NUMBER = r"[+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?"
-
-
 def _rows(spark: SparkSession, path: str) -> DataFrame:
-    """Numbers ``n`` of every line but comments, with the line's place."""
-    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
-    return lines.where(~F.col("value").contains("#") & (F.trim("value") != "")).select("line", F.regexp_extract_all("value", F.lit(f"({_NUMBER})"), 1).alias("n"))
+    """Fields ``n`` of every line, what follows a ``#`` left out, with the line's place."""
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.split("value", "#")[0].alias("value"))
+    return lines.select("line", F.array_remove(F.split("value", r"\s+"), "").alias("n")).where(F.size("n") > 0)
 
 
 def _body(spark: SparkSession, path: str) -> DataFrame:
@@ -53,7 +50,7 @@ def read_poly(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def write_poly(path: str, vertex: DataFrame, segment: DataFrame) -> None:
     def parts():
         yield f"{vertex.count()} 2 0 0\n".encode()
-        yield from (f"{r.vid + 1} {r.x:17.11f} {r.y:17.11f}\n".encode() for r in ordered(vertex, "vid"))
+        yield from (f"{r.vid + 1} {r.x:.17g} {r.y:.17g}\n".encode() for r in ordered(vertex, "vid"))
         yield f"{segment.count()} 0\n".encode()
         yield from (f"{r.sid + 1} {r.v0 + 1} {r.v1 + 1}\n".encode() for r in ordered(segment, "sid"))
         yield b"0\n"
@@ -67,7 +64,7 @@ def write_triangles(stem: str, vertex: DataFrame, elem: DataFrame, neigh: DataFr
 
     def node():
         yield f"{vertex.count()} 2 0 1\n".encode()
-        yield from (f"{r.vid + 1} {r.x:.15g} {r.y:.15g} 0\n".encode() for r in ordered(vertex, "vid"))
+        yield from (f"{r.vid + 1} {r.x:.17g} {r.y:.17g} 0\n".encode() for r in ordered(vertex, "vid"))
 
     def three(table, names):
         yield f"{table.count()} 3\n".encode()

@@ -150,8 +150,10 @@ def test_whole_pipeline(spark, tmp_path):
     assert abs(r.params.agg(F.sum("area")).first()[0] - 300 * 320) < 1e-6
     assert {x[0] for x in r.params.select("veg").distinct().collect()} == {1.0, 100.0}
     assert set(r.params.columns) == {"tri", "area", "id", "veg", "mixed"}
-    for ending in ("mesh", "param", "shp", "dbf", "vtu", "node", "poly"):
+    for ending in ("mesh", "param", "shp", "dbf", "vtu", "node"):
         assert (tmp_path / "out" / f"mesh.{ending}").stat().st_size > 100
+    assert list(r.took) == ["rasters", "mesh", "parameters", "files"] and all(s > 0 for s in r.took.values())
+    assert geotiff.read_cells(spark, str(tmp_path / "out" / "mesh_surface.tif")).count() == 30 * 32
     lines = str(tmp_path / "out" / "mesh_lines.geojson")
     assert geojson.read_crs(spark, lines) == "local" and geojson.read_geojson(spark, lines).count() == 1
     vertex, segment = triangle_files.read_poly(spark, str(tmp_path / "out" / "mesh.poly"))
@@ -206,6 +208,12 @@ def test_tools(spark, strip):
     tools.to_shapefile(spark, str(strip / "s.mesh"), str(strip / "shape"), out)
     assert 'Name="both"' in (strip / "s.vtu").read_text()
     assert shapefile.read_shapefile(spark, str(strip / "shape")).count() == 20
+    for source, target in (("shape", "again"), ("again", "third")):  # with and without the statistics
+        r = tools.update_shapefile(spark, str(strip / source), str(strip / "s.tif"), str(strip / target))
+        assert r.first()["percent"] == 12.5
+        names, table = shapefile.read_attributes(spark, str(strip / target))
+        assert sorted(names[:-4]) == ["a", "b", "both"] and names[-4:] == ["error", "area", "min_angle", "max_angle"]
+        assert table.where("error = 0 and area = 50 and round(min_angle, 6) = 45 and round(max_angle, 6) = 90 and a = 1 and b = 2").count() == 20
     mesh_json.write_param(str(strip / "short.param"), merged.where("tri < 5").select("tri", "a"))
     with pytest.raises(ValueError):
         tools.merge(spark, [out, str(strip / "short.param")], str(strip / "n.param"))
@@ -225,6 +233,23 @@ def test_windows_have_shape(spark, strip):
     assert all(r["n"] > 0 for r in holes.collect())
 
 
+def test_classifiers_say_what_they_are(spark):
+    from terratess.operators import zonal
+
+    table = spark.createDataFrame([(0, 1.0, 2.0), (1, None, 3.0)], "tri int, a double, b double")
+    rule = lambda a, b: b if a is None else a + b
+    assert values(zonal.classified(table, "c", ["a", "b"], zonal.plain(rule)), "tri") == [(0, 3.0), (1, 3.0)]
+    assert values(zonal.classified(table, "c", ["a", "b"], lambda a, b: F.coalesce(a, b) * 2), "tri") == [(0, 2.0), (1, 6.0)]
+    with pytest.raises(TypeError):
+        zonal.classified(table, "c", ["a", "b"], lambda a, b: 1.0)
+    with pytest.raises(ZeroDivisionError):  # an error of the classifier's own is not hidden
+        zonal.classified(table, "c", ["a", "b"], lambda a, b: 1 / 0)
+    with pytest.raises(Exception, match="must return a value"):
+        zonal.classified(table, "c", ["a", "b"], zonal.plain(lambda a, b: None)).collect()
+    filled = spark.createDataFrame([(-9999.0,), (1.0,)], "v double").select(zonal.substituted(F.col("v")).alias("v"))
+    assert [r.v for r in filled.collect()] == [None, 1.0]
+
+
 UTM = "+proj=utm +zone=11 +datum=WGS84 +units=m"
 
 
