@@ -169,7 +169,22 @@ weighed AS (
 """
 
 
+#: Heights spread inwards from cells beside missing ones, always the lowest way.
+_FLOOD = """
+relief AS (SELECT (l_orderkey % w)::INTEGER AS px, (l_partkey % w)::INTEGER AS py, (sum(l_quantity::BIGINT) % 1000)::DOUBLE AS z FROM lineitem, size GROUP BY ALL),
+step AS (SELECT i::INTEGER AS i, j::INTEGER AS j FROM range(-1, 2) a(i), range(-1, 2) b(j) WHERE i <> 0 OR j <> 0),
+beside AS (SELECT a.px, a.py, b.px AS qx, b.py AS qy, b.z AS qz FROM relief a, step s JOIN relief b ON b.px = a.px + s.i AND b.py = a.py + s.j),
+rim AS (SELECT r.px, r.py, r.z FROM relief r LEFT JOIN beside b USING (px, py) GROUP BY ALL HAVING count(b.qx) < 8),
+flood(px, py, w) USING KEY (px, py) AS (
+    SELECT px, py, z FROM rim
+    UNION
+    SELECT b.qx, b.qy, min(greatest(b.qz, f.w + 0.01::DOUBLE)) FROM flood f JOIN beside b ON b.px = f.px AND b.py = f.py LEFT JOIN recurring.flood o ON o.px = b.qx AND o.py = b.qy
+    WHERE o.w IS NULL OR greatest(b.qz, f.w + 0.01::DOUBLE) < o.w GROUP BY b.qx, b.qy)
+"""
+
+
 ORACLES: dict[str, str] = {
+    "filled_depressions": _q("SELECT px, py, round(w, 6) AS v FROM flood", _FLOOD),
     "geographic_area": _q("SELECT tri, round(abs((b.x - a.x) * (c.y - a.y) - (c.x - a.x) * (b.y - a.y)) / 2, 1) AS area FROM elem JOIN equal a ON a.vid = v0 JOIN equal b ON b.vid = v1 JOIN equal c ON c.vid = v2", _EQUAL_AREA),
     "smooth": _q("SELECT px, py, round(sum(w * z) / sum(w), 6) AS v FROM weighed WHERE w > 0 GROUP BY px, py", _SPLINE),
     "projected_points": f"WITH {_MAPPED}, {_utm('lon', 'lat', 8, 'mapped')}, {_albers('lon', 'lat', 'utm')} SELECT c_custkey, round(albers_x, 3) AS albers_x, round(albers_y, 3) AS albers_y, round(utm_x, 3) AS utm_x, round(utm_y, 3) AS utm_y FROM albers",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from terratess.functions import geometry as g
 from terratess.functions.projections import Albers, Utm, between
 from terratess.model import Grid
-from terratess.operators import acceptance, metrics, params, raster, spatial, topology, vector, zonal
+from terratess.operators import acceptance, flow, metrics, params, raster, spatial, topology, vector, zonal
 from terratess.operators.numbering import numbered
 from terratess.plans import adapter
 from terratess.sources import synthetic
@@ -431,6 +431,23 @@ def flat_dem(s: Scene) -> DataFrame:
     return synthetic.flat(s.spark, 16, 16)
 
 
+def _relief(s: Scene) -> DataFrame:
+    """Amounts on the scene's cells, none punched out: a rough surface full of pits."""
+    items = adapter.read(s.spark, s.sf_dir, "lineitem")
+    cells = items.groupBy((F.col("l_orderkey") % s.w).cast("int").alias("px"), (F.col("l_partkey") % s.w).cast("int").alias("py"))
+    return cells.agg((F.sum(F.col("l_quantity").cast("long")) % 1000).cast("double").alias("v"))
+
+
+@query
+def filled_depressions(s: Scene) -> DataFrame:
+    return _round(flow.fill_depressions(_relief(s), 0.01, 64), "v")
+
+
+@query
+def flow_accumulation(s: Scene) -> DataFrame:
+    return _round(flow.flow_accumulation(flow.fill_depressions(_relief(s), 0.01, 64), s.grid, 64), "v")
+
+
 def _mapped(s: Scene) -> DataFrame:
     return adapter.read(s.spark, s.sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 50 / 10.0 - 137.5).alias("lon"), (F.col("c_custkey") % 300 / 10.0 + 40.0).alias("lat"))
 
