@@ -16,6 +16,7 @@ from terratess.model import Grid
 from terratess.operators.batched import by_group
 from terratess.operators.components import components
 from terratess.operators.numbering import numbered
+from terratess.operators.offset import offset_rings
 from terratess.staging import stage
 
 
@@ -214,37 +215,23 @@ def simplify(points: DataFrame, tolerance: float) -> DataFrame:
     return by_group(_points(points), ["fid", "part"], ["seq"], run, _LINES)
 
 
-def offset_ring(xy: np.ndarray, distance: float) -> np.ndarray:
-    """A closed simple ring moved along its inner bisectors; negative shrinks. Corners are mitred; vertices nearer to the old outline than the distance are dropped."""
-    p = xy[:-1] if (xy[0] == xy[-1]).all() else xy
-    if len(p) < 3:
-        return np.zeros((0, 2))
-    q = np.roll(p, -1, axis=0)
-    twice = (p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1]).sum()
-    if twice == 0:
-        return np.zeros((0, 2))
-    e = (q - p) / np.maximum(np.sqrt(((q - p) ** 2).sum(axis=1))[:, None], 1e-300)
-    normal = np.column_stack([e[:, 1], -e[:, 0]]) * np.sign(twice)  # outwards
-    before = np.roll(normal, 1, axis=0)
-    mitre = (normal + before) / np.maximum(1 + (normal * before).sum(axis=1), 1 / 8)[:, None]
-    moved = p + distance * mitre
-    # what came closer to the old outline than the distance has passed through a neck
-    gap = []
-    for m in moved:
-        t = np.clip(((m - p) * (q - p)).sum(axis=1) / np.maximum(((q - p) ** 2).sum(axis=1), 1e-300), 0, 1)
-        gap.append(np.sqrt(((p + t[:, None] * (q - p) - m) ** 2).sum(axis=1).min()))
-    moved = moved[np.array(gap) >= abs(distance) * (1 - 1e-9)]
-    return np.vstack([moved, moved[:1]]) if len(moved) > 2 else np.zeros((0, 2))
-
-
 def buffer(points: DataFrame, distance: float) -> DataFrame:
-    """Offsets every ring; rings that vanish give no rows."""
-
-    def run(group: list[np.ndarray]) -> list[np.ndarray]:
-        out = offset_ring(np.column_stack(group[3:5]), distance)
-        return [np.full(len(out), group[0][0]), np.full(len(out), group[1][0]), np.arange(len(out), dtype=np.int32), out[:, 0], out[:, 1]]
-
-    return by_group(_points(points), ["fid", "part"], ["seq"], run, _LINES)
+    """Every ring moved outwards by ``distance`` (inwards if negative): ``(fid, part, seq, x, y)`` with the rings that it falls into as parts, the largest first; rings that vanish give no rows."""
+
+    def run(group: list[np.ndarray]) -> list[np.ndarray] | None:
+        found = offset_rings(np.column_stack(group[3:5]), distance)
+        if not found:
+            return None
+        sizes = [len(r) for r in found]
+        xy = np.vstack(found)
+        parts = np.repeat(np.arange(len(found), dtype=np.int32), sizes)
+        return [np.full(len(xy), group[0][0]), parts, np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]), xy[:, 0], xy[:, 1], np.full(len(xy), group[1][0])]
+
+    found = by_group(_points(points), ["fid", "part"], ["seq"], run, _LINES + ", source int")
+    # parts of one feature are numbered through: those of its first ring before those of its next
+    sizes = found.groupBy("fid", "source").agg((F.max("part") + 1).alias("n"))
+    before = sizes.select("fid", "source", F.coalesce(F.sum("n").over(Window.partitionBy("fid").orderBy("source").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int").alias("first"))
+    return found.join(before, ["fid", "source"]).select("fid", (F.col("part") + F.col("first")).alias("part"), "seq", "x", "y")
 
 
 def clip_lines(points: DataFrame, ring: list[tuple[float, float]]) -> DataFrame:

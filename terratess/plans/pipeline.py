@@ -84,7 +84,7 @@ def domain(spark: SparkSession, dem: DataFrame, grid: Grid, cfg: Config) -> list
     rings = vector.rings(region.join(F.broadcast(best.select("component")), "component", "left_semi"), grid).where("part = 0")
     if cfg.simplify:
         if not cfg.no_simplify_buffer and cfg.simplify_buffer:
-            rings = vector.buffer(rings, cfg.simplify_buffer)
+            rings = vector.buffer(rings, cfg.simplify_buffer).where("part = 0")  # the largest of the pieces
         rings = vector.simplify(rings, cfg.simplify_tol)
     vertex, _ = vector.boundary_graph(vector.longest_line(stage(rings, "outline")))
     return [(r.x, r.y) for r in vertex.orderBy("vid").collect()]

@@ -100,12 +100,6 @@ def test_simplify_keeps_within_tolerance():
     assert keep[0] and keep[-1] and keep.sum() < 60 and gap.max() < 0.25
 
 
-def test_shrunk_square():
-    ring = np.array([(0, 0), (10, 0), (10, 10), (0, 10), (0, 0)], dtype=float)
-    assert np.allclose(sorted(map(tuple, vector.offset_ring(ring, -1.0)[:-1])), [(1, 1), (1, 9), (9, 1), (9, 9)])
-    assert len(vector.offset_ring(ring, -6.0)) == 0
-
-
 @pytest.mark.parametrize(
     "more",
     [
