@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from terratess.llm.op02_urlfilter import BLOCKED_HOSTS
 from terratess.llm.op03_mixing import SEED, SEEDS
-from terratess.llm.op09_rules import LEAST_STOP, MARKS, STOP_WORDS
+from terratess.llm.op09_rules import LEAST_STOP, MARKS, stop_forms
 
 _OWN = " OR ".join(f"'.' || host LIKE '%.{h}'" for h in BLOCKED_HOSTS)
 
@@ -67,7 +67,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, ve
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
-_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in dict.fromkeys(STOP_WORDS))
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in stop_forms())
 
 _MARKS = MARKS.replace("'", "''")
 
@@ -84,7 +84,7 @@ stats AS (
     SELECT s.row, doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
         len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(c.n, 0) AS n_repeat_words,
         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
-        len(list_filter(w, lambda x: translate(trim(x, '{_MARKS}'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') IN ({_STOP})))::BIGINT AS n_stop_words
+        len(list_filter(w, lambda x: trim(x, '{_MARKS}') IN ({_STOP})))::BIGINT AS n_stop_words
     FROM split s LEFT JOIN covered c ON s.row = c.row),
 counted AS (
     SELECT * EXCLUDE (row, lines), len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,

@@ -153,7 +153,7 @@ def test_pruning_bound_is_the_posterior():
 
 
 def test_rules_equal_brute_force(spark, texts):
-    docs = [*texts, "a b c " * 30, "x y x y x y z", "l one\nl one\n\nl one\nm", "#a $b %c <d> the of"]
+    docs = [*texts, "a b c " * 30, "x y x y x y z", "l one\nl one\n\nl one\nm", "#a $b %c <d> the of", "The (of) AND, \"to\" tHe x" * 20]
     rows = {r.doc_id: r for r in op09_rules.judge(table(spark, list(enumerate(docs))).withColumn("s", F.lit(1))).collect()}
     for i, t in enumerate(docs):
         w = re.findall(SPACES, t or "")
@@ -163,7 +163,11 @@ def test_rules_equal_brute_force(spark, texts):
         r = rows[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_repeat_words, r.n_dup_lines) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(covered), len(lines) - len(set(lines)))
         assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
-        assert not (r.base_failed and r.kept)
+        forms = {f for x in op09_rules.STOP_WORDS for f in (x, x.capitalize(), x.upper())}
+        stop = sum(x.strip(op09_rules.MARKS) in forms for x in w)
+        assert (rows[i].n_stop_words, rows[i].n_lines) == (stop, len(lines))
+        own = 2 * len(w) <= sum(map(len, w)) <= 25 * len(w) and 100 * r.n_symbols <= 20 * len(w) and 100 * stop >= op09_rules.LEAST_STOP * len(w) and 100 * r.n_dup_lines <= 40 * len(lines)
+        assert r.kept == (own and not r.base_failed)
     assert op09_rules.judge(table(spark, [])).count() == 0
 
 
