@@ -167,7 +167,7 @@ def _let(value: str, name: str, body: str) -> str:
 def _found() -> str:
     """Candidates ``c`` of a text and the gaps ``g`` before, between and behind them."""
     candidate = CANDIDATE.replace("\\", "\\\\").replace("'", "\\'")
-    return f"named_struct('c', regexp_extract_all(text, '{candidate}', 0), 'g', split(text, '{candidate}'))"
+    return _let(f"regexp_extract_all(text, '{candidate}', 0)", "every", f"named_struct('c', every, 'g', if(size(every) = 0, array(text), split(text, '{candidate}')))")
 
 
 #: Neighbouring text of candidate i, which may be part of the candidates beside it.
