@@ -143,17 +143,11 @@ class Mesh:
         return tuple(sorted(self.t.triangles[k])) == key
 
     def smooth(self, iterations: int) -> None:
-        """Lloyd steps: free vertices move to the area-weighted mean of their triangles' centres; the mesh is triangulated anew each time. Error bounds no longer hold after it."""
+        """Lloyd steps: free vertices move to the centroids of their Voronoi cells; the mesh is triangulated anew each time. Error bounds no longer hold after it."""
         for _ in range(iterations):
             vertex, elem, _ = self.t.tables()
             held = {self.t.points[v] for e in self.t.fixed for v in e}
-            p = vertex[elem]
-            area = np.abs((p[:, 1, 0] - p[:, 0, 0]) * (p[:, 2, 1] - p[:, 0, 1]) - (p[:, 2, 0] - p[:, 0, 0]) * (p[:, 1, 1] - p[:, 0, 1])) / 2
-            total, moved = np.zeros(len(vertex)), np.zeros_like(vertex)
-            for k in range(3):
-                np.add.at(total, elem[:, k], area)
-                np.add.at(moved, elem[:, k], area[:, None] * p.mean(axis=1))
-            moved /= np.maximum(total, 1e-300)[:, None]
+            moved = cell_centroids(vertex, elem)
             old = self.t
             fixed = [old._own(x, y) in held for x, y in vertex.tolist()]
             inner = [tuple(q) for q, f in zip(moved.tolist(), fixed) if not f]
@@ -182,6 +176,54 @@ class Mesh:
         return out
 
 
+def cell_centroids(vertex: np.ndarray, elem: np.ndarray) -> np.ndarray:
+    """Of each vertex the centroid of its Voronoi cell, whose corners are the circumcentres of its triangles in turn.
+
+    Where a triangle's circumcentre lies beyond an edge that no other triangle has, the
+    cell reaches out of the domain: there it is the area-weighted mean of the triangles' centres.
+    """
+    p = vertex[elem]
+    a, b, c = p[:, 0], p[:, 1] - p[:, 0], p[:, 2] - p[:, 0]
+    twice = b[:, 0] * c[:, 1] - b[:, 1] * c[:, 0]
+    bb, cc = (b * b).sum(axis=1), (c * c).sum(axis=1)
+    centre = a + np.column_stack([c[:, 1] * bb - b[:, 1] * cc, b[:, 0] * cc - c[:, 0] * bb]) / (2 * twice)[:, None]
+
+    total, mean = np.zeros(len(vertex)), np.zeros_like(vertex)
+    for k in range(3):
+        np.add.at(total, elem[:, k], np.abs(twice))
+        np.add.at(mean, elem[:, k], np.abs(twice)[:, None] * p.mean(axis=1))
+    mean /= np.maximum(total, 1e-300)[:, None]
+
+    ends = np.sort(np.concatenate([elem[:, [1, 2]], elem[:, [2, 0]], elem[:, [0, 1]]]), axis=1)
+    _, which, times = np.unique(ends, axis=0, return_inverse=True, return_counts=True)
+    rim = (times[which.ravel()] == 1).reshape(3, -1)
+    open_ = np.zeros(len(vertex), dtype=bool)
+    for k in range(3):
+        u, v = p[:, (k + 1) % 3], p[:, (k + 2) % 3]
+        side = lambda x, u=u, v=v: (v[:, 0] - u[:, 0]) * (x[:, 1] - u[:, 1]) - (v[:, 1] - u[:, 1]) * (x[:, 0] - u[:, 0])
+        beyond = rim[k] & (side(centre) * side(p[:, k]) < 0)
+        open_[elem[beyond].ravel()] = True
+        open_[elem[rim[k]][:, [(k + 1) % 3, (k + 2) % 3]].ravel()] = True
+
+    owner = elem.ravel()
+    corner = np.repeat(centre, 3, axis=0) - vertex[owner]
+    towards = np.repeat(p.mean(axis=1), 3, axis=0) - vertex[owner]
+    order = np.lexsort((np.arctan2(towards[:, 1], towards[:, 0]), owner))
+    owner, corner = owner[order], corner[order]
+    last = np.append(owner[1:] != owner[:-1], True)
+    first = np.flatnonzero(np.append(True, last[:-1]))
+    after = np.arange(1, len(owner) + 1)
+    after[last] = first
+    cross = corner[:, 0] * corner[after, 1] - corner[:, 1] * corner[after, 0]
+    size, moment = np.zeros(len(vertex)), np.zeros_like(vertex)
+    np.add.at(size, owner, cross)
+    np.add.at(moment, owner, cross[:, None] * (corner + corner[after]))
+    good = ~open_ & (size > 1e-12 * np.maximum(total, 1e-300))
+    out = mean
+    out[good] = vertex[good] + moment[good] / (3 * size[good])[:, None]
+    return out
+
+
 def frames(spark: SparkSession, mesh: Mesh) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Vertex (height 0), element and neighbour tables."""
     vertex, elem, near = mesh.t.tables()

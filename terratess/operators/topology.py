@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terratess.operators.numbering import numbered, running
+from terratess.staging import release, stage
 
 
 def sides(elem: DataFrame) -> DataFrame:
@@ -94,6 +95,47 @@ def partition_by_position(centres: DataFrame, parts: int) -> DataFrame:
     return out.select("tri", F.col("first").alias("part"))
 
 
+def edge_cut(pairs: DataFrame, parts: DataFrame) -> int:
+    """Links between triangles of different parts; ``pairs`` holds each twice."""
+    p = lambda c: parts.select(F.col("tri").alias(c), F.col("part").alias(f"_{c}"))
+    return pairs.where("i < j").join(p("i"), "i").join(p("j"), "j").where("_i <> _j").count()
+
+
+def partition_by_graph(parts: DataFrame, neigh: DataFrame, sweeps: int = 8) -> DataFrame:
+    """``parts (tri, part)`` with triangles exchanged between parts so that fewer links are cut; sizes stay.
+
+    In a sweep each triangle with more neighbours in another part than in its own asks
+    to go there; of two parts as many go either way, those that gain most first.
+    Sweeps end when the cut no longer falls, and the best partition stays. A sweep is
+    one pass of joins; ranks within a pair of parts come from ranges, not from one task.
+    """
+    pairs = stage(edges(neigh), "links")
+    best = stage(parts.select("tri", "part"), "parts")
+    cut = edge_cut(pairs, best)
+    for turn in range(sweeps):
+        near = pairs.join(best.select(F.col("tri").alias("j"), F.col("part").alias("there")), "j").groupBy("i", "there").agg(F.count("*").alias("n"))
+        own = near.join(best.select(F.col("tri").alias("i"), "part"), "i")
+        home = own.groupBy("i", "part").agg(F.sum(F.when(F.col("there") == F.col("part"), F.col("n")).otherwise(0)).alias("held"), F.max(F.when(F.col("there") != F.col("part"), F.struct("n", (-F.col("there")).alias("minus")))).alias("away"))
+        # only every other triangle, by turns, so that neighbours don't change places together
+        wish = home.where((F.col("away")["n"] > F.col("held")) & (F.xxhash64("i", F.lit(turn)) % 2 == 0)).select(F.col("i").alias("tri"), "part", (-F.col("away")["minus"]).alias("to"), (F.col("away")["n"] - F.col("held")).alias("gain"))
+        placed = numbered(wish, [F.col("part").asc(), F.col("to").asc(), F.desc("gain"), F.col("tri").asc()], "place")
+        flows = placed.groupBy("part", "to").agg(F.min("place").alias("first"), F.count("*").alias("n"))  # a row a pair of parts
+        back = flows.select(F.col("part").alias("to"), F.col("to").alias("part"), F.col("n").alias("back"))
+        allowed = F.broadcast(flows.join(back, ["part", "to"]).select("part", "to", "first", F.least("n", "back").alias("many")))
+        goes = placed.join(allowed, ["part", "to"]).where(F.col("place") - F.col("first") < F.col("many")).select("tri", F.col("to").alias("_to"))
+        fresh = stage(best.join(goes, "tri", "left").select("tri", F.coalesce("_to", "part").alias("part")), "parts")
+        now = edge_cut(pairs, fresh)
+        if now >= cut:
+            release(fresh)
+            if turn % 2:  # both halves of the triangles have had a turn
+                break
+            continue
+        release(best)
+        best, cut = fresh, now
+    release(pairs)
+    return best
+
+
 def partition_order(parts: DataFrame) -> DataFrame:
     """``(tri, part, position)``: by part, then id."""
     return numbered(parts.select("tri", "part"), [F.col("part").asc(), F.col("tri").asc()], "position")

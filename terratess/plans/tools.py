@@ -58,7 +58,7 @@ def order(m: dict[str, DataFrame], kind: str, parts: int = 2) -> tuple[DataFrame
         return topology.dissection_order(centres), None
     if kind != "metis":
         raise ValueError(f"unknown ordering {kind!r}; known are {', '.join(VERSIONS)}")
-    found = topology.partition_by_position(centres, parts)
+    found = topology.partition_by_graph(topology.partition_by_position(centres, parts), m["neigh"])
     return topology.partition_order(found).select("tri", "position"), topology.partition_sizes(found)
 
 

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from terratess.model import Grid
-from terratess.operators import acceptance, refine
+from terratess.operators import acceptance, refine, topology
 from terratess.operators.kernel import orient, sine2_of
 from terratess.operators.refine import Mesh
 from terratess.sources import synthetic
@@ -82,6 +82,39 @@ def test_lloyd_keeps_domain_and_improves_angles():
     assert np.mean([sine2_of(*vertex[r]) for r in elem]) >= before - 0.02
 
 
+def test_voronoi_centroids(spark):
+    """Inside the domain: the mean place of the points that a vertex is nearest to."""
+    random.seed(5)
+    mesh = Mesh([(0.0, 0.0), (40.0, 0.0), (40.0, 40.0), (0.0, 40.0)])
+    mesh.improve(25.0, 0.125, 0.01, 5000)
+    vertex, elem, _ = mesh.t.tables()
+    found = refine.cell_centroids(vertex, elem)
+    side = np.linspace(0.025, 39.975, 800)
+    grid = np.stack(np.meshgrid(side, side), axis=-1).reshape(-1, 2)
+    nearest = np.concatenate([((g[:, None, :] - vertex[None]) ** 2).sum(axis=2).argmin(axis=1) for g in np.array_split(grid, 200)])
+    checked = 0
+    for v, (x, y) in enumerate(vertex.tolist()):
+        if 8 < x < 32 and 8 < y < 32:
+            assert np.abs(found[v] - grid[nearest == v].mean(axis=0)).max() < 0.03
+            checked += 1
+    assert checked > 5
+
+
+@pytest.mark.parametrize("many", [2, 3])
+def test_graph_partition_cuts_less_and_keeps_sizes(spark, many):
+    """Scattered parts: exchanges bring neighbours together, sizes stay."""
+    n = 12
+    elem = [(2 * (r * n + c) + k, *([r * (n + 1) + c, r * (n + 1) + c + 1, (r + 1) * (n + 1) + c] if k == 0 else [r * (n + 1) + c + 1, (r + 1) * (n + 1) + c + 1, (r + 1) * (n + 1) + c])) for r in range(n) for c in range(n) for k in range(2)]
+    neigh = topology.neighbours(spark.createDataFrame(elem, "tri int, v0 int, v1 int, v2 int"))
+    r = random.Random(1)
+    parts = spark.createDataFrame([(t, r.randrange(many)) for t, *_ in elem], "tri int, part int")
+    pairs = topology.edges(neigh)
+    found = topology.partition_by_graph(parts, neigh)
+    assert topology.edge_cut(pairs, found) < 0.6 * topology.edge_cut(pairs, parts)
+    count = lambda x: sorted(map(tuple, topology.partition_sizes(x).collect()))
+    assert count(found) == count(parts) and found.select("tri").distinct().count() == len(elem)
+
+
 @pytest.fixture(scope="module")
 def hill(spark):
     grid = Grid(0.0, 10.0, 320.0, -10.0, 32, 32, "local")
