@@ -1,5 +1,6 @@
 """Operators on texts against brute force, on awkward inputs."""
 
+import os
 import random
 import re
 import zlib
@@ -653,3 +654,54 @@ def test_scores_equal_brute_force(spark, texts):
         score = sigmoid(np.dot([logit(p_text), logit(p_meta), 1], model.joint)) if own else 0.0
         assert (found[i].p_meta, found[i].score) == (pytest.approx(p_meta, abs=1e-6), pytest.approx(score, abs=1e-6)) and found[i].kept == (found[i].score >= 0.5)
         assert not own or found[i].p_text == pytest.approx(p_text, abs=1e-6)
+
+
+DRIVER = "/root/testdata/sf0.01/documents.parquet"
+
+
+@pytest.mark.skipif(not os.path.exists(DRIVER), reason="no test tables")
+def test_near_duplicates_of_the_test_table_equal_brute_force(spark):
+    rows = spark.read.parquet(DRIVER).orderBy("doc_id").collect()
+    sizes, roots = brute_components([r.text for r in rows])
+    found = {r.doc_id: r for r in op08_minhash.near_duplicates(spark.read.parquet(DRIVER)).collect()}
+    assert sum(k != root for k, root in enumerate(roots)) > 50
+    for k, r in enumerate(rows):
+        assert (found[r.doc_id].n_shingles, found[r.doc_id].component_id) == (sizes[k], rows[roots[k]].doc_id)
+
+
+def test_empty_tables(spark, forest):
+    docs = table(spark, [], DOCS)
+    labels = table(spark, [], "doc_id long, quality int, toxic int")
+    some = table(spark, [(1, "a word", "en", "s", 6), (None, None, None, None, None)], DOCS)
+    with pytest.warns(UserWarning, match="nothing is learned"):
+        assert op04_quality.classify(docs, labels).count() == 0
+        assert [r.kept for r in op04_quality.classify(some, labels).collect()] == [True, True]
+        assert op04_quality.filter_documents(docs, labels).count() == 0
+    assert op01_langid.identify(docs, op01_langid.learn(docs)).count() == 0
+    assert op03_mixing.rates(docs).count() == 0 and op05_packing.pack(docs).count() == 0 and op07_secrets.redact(docs, forest).count() == 0
+    assert op08_minhash.near_duplicates(docs).count() == 0 and op09_rules.judge(docs).count() == 0 and op10_license.labelled(op10_license.scan(docs)).count() == 0
+
+
+def test_columns_of_working_names_do_no_harm(spark, forest):
+    """Tables whose further columns are named like the operators' own."""
+    rows = [(1, "one two three four five six", "en", "s1", 27), (2, "one two three four five six", None, None, 27), (2, None, "de", "s1", None)]
+    clash = {c: F.lit("clash") for c in ("node", "label", "bucket", "minima", "secrets", "clean_text", "found", "place", "words", "digest", "id", "meta", "place", "failed", "kept", "score", "best", "uid", "shard", "spans")}
+    docs = table(spark, rows, DOCS).withColumns(clash)
+    labels = table(spark, [(1, 1, 0)], "doc_id long, quality int, toxic int").withColumns({"id": F.lit(3), "y": F.lit(2)})
+    with pytest.warns(UserWarning):
+        assert op04_quality.filter_documents(docs, labels).count() == 3
+    for found in (op01_langid.identify(docs, op01_langid.learn(docs)), op03_mixing.rates(docs), op05_packing.pack(docs), op07_secrets.scan(docs, forest), op08_minhash.near_duplicates(docs), op09_rules.judge(docs), op10_license.labelled(op10_license.scan(docs))):
+        assert {r.doc_id for r in found.collect()} == {1, 2}
+    assert op03_mixing.mix(docs).columns == docs.columns == op07_secrets.redact(docs, forest).columns
+
+
+def test_model_survives_conflicting_rows_of_an_id(spark):
+    """Which text of a repeated id teaches doesn't depend on the order of rows."""
+    r = random.Random(17)
+    rows = [(i % 60, " ".join(f"w{r.randrange(50)}" for _ in range(20)), "en", f"s{i % 3}", 100) for i in range(180)]
+    labels = table(spark, [(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    a = op04_quality.train(table(spark, rows, DOCS), labels, rounds=1)
+    b = op04_quality.train(table(spark, rows[::-1], DOCS).repartition(5), labels, rounds=1)
+    assert np.allclose(a.words, b.words) and np.allclose(a.joint, b.joint) and a.exchanged == b.exchanged
+    small = op04_quality.train(table(spark, rows, DOCS), labels, rounds=1, entries=400)
+    assert small is not None and not np.allclose(a.words, small.words)
