@@ -17,6 +17,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terratess.staging import release, stage
+
 TREES, DEPTH, SEED = 25, 8, 7
 ACCEPT = 0.5
 MARK = "[SECRET]"
@@ -144,8 +146,12 @@ def fit(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int =
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
-    rows = measured(findings).select(array_to_vector("features").alias("features"), "label").coalesce(1)
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", minInstancesPerNode=2).fit(rows)
+    # measured once, in one order: draws don't depend on the cluster
+    table = stage(measured(findings).select("features", "label").repartition(1).sortWithinPartitions("features", "label"), "findings")
+    rows = table.select(array_to_vector("features").alias("features"), "label")
+    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", minInstancesPerNode=2).fit(rows)
+    release(table)
+    return model
 
 
 def compiled(model) -> str:
