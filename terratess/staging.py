@@ -60,14 +60,28 @@ def _release_all() -> None:
             return
 
 
+class SharedFile:
+    """A file of bounded size in the shared folder, written part by part."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        context = spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        self.path: str = files.makeQualified(path).toString()
+        self._out = files.create(path, True)
+
+    def write(self, part: bytes) -> None:
+        for at in range(0, len(part), 1 << 22):
+            self._out.write(bytearray(part[at : at + (1 << 22)]))
+
+    def close(self) -> None:
+        self._out.close()
+
+
 def put(spark: SparkSession, name: str, content: bytes | Iterable[bytes]) -> str:
     """Writes a file of bounded size, whole or in parts, to the shared folder; returns its full path."""
-    context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
-    files = path.getFileSystem(context._jsc.hadoopConfiguration())
-    out = files.create(path, True)
+    out = SharedFile(spark, name)
     for part in [content] if isinstance(content, bytes) else content:
-        for at in range(0, len(part), 1 << 22):
-            out.write(bytearray(part[at : at + (1 << 22)]))
+        out.write(part)
     out.close()
-    return files.makeQualified(path).toString()
+    return out.path
