@@ -25,7 +25,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terratess.staging import put, release, stage
+from terratess.staging import SharedFile, release, stage
 
 #: Hosts that the method itself blocks where no rule decides; all their subdomains too.
 BLOCKED_HOSTS = tuple(x for x in pkgutil.get_data(__package__, "data/blocked_hosts.txt").decode().split("\n") if x and x[0] != "#")
@@ -88,30 +88,26 @@ class Published:
 def publish(spark: SparkSession, rules: DataFrame, blocked: DataFrame) -> Published:
     """Sorts and encodes the lists, writes them to the shared folder and has Spark copy them to every executor."""
     held = stage(entries(rules, blocked).withColumn("line", F.concat("kind", "verdict", "key")).withColumn("digest", F.xxhash64(F.concat("kind", "key"))), "entries")
-    size = held.agg(F.coalesce(F.sum(F.octet_length("line") + 16), F.lit(0))).first()[0]
-    if size > MOST_BYTES:
+    shapes = held.groupBy("kind", "depth").agg(F.sum(F.octet_length("line") + 16).alias("size")).collect()  # a row for each length of a path
+    if sum(r["size"] for r in shapes) > MOST_BYTES:
         raise ValueError("the lists are too large to copy to every executor")
-    depths = tuple(sorted((r["kind"], r["depth"]) for r in held.select("kind", "depth").distinct().collect()))
     chunks = held.orderBy("digest", "line").select("digest", "line").mapInArrow(_encoded, "keys binary, sizes binary, text binary")
     chunks = stage(chunks.withColumn("place", F.monotonically_increasing_id()), "chunks")
     name = f"digests-{uuid.uuid4().hex}"
-
-    def stream(column: str) -> Iterator[bytes]:
-        for r in chunks.select("place", column).orderBy("place").toLocalIterator():
-            yield bytes(r[column])
-
-    def offsets() -> Iterator[bytes]:
-        at = 0
-        yield np.zeros(1, dtype="<i8").tobytes()
-        for x in stream("sizes"):
-            ends = at + np.cumsum(np.frombuffer(x, dtype="<i8"))
-            at = int(ends[-1]) if len(ends) else at
-            yield ends.astype("<i8").tobytes()
-
-    for kind, parts in (("keys", stream("keys")), ("at", offsets()), ("text", stream("text"))):
-        spark.sparkContext.addFile(put(spark, f"lists/{name}.{kind}", parts))
+    keys, at, text = files = [SharedFile(spark, f"lists/{name}.{kind}") for kind in ("keys", "at", "text")]
+    end = 0
+    at.write(np.zeros(1, dtype="<i8").tobytes())
+    for r in chunks.orderBy("place").toLocalIterator():  # the driver holds a partition of chunks at a time
+        keys.write(bytes(r["keys"]))
+        text.write(bytes(r["text"]))
+        ends = end + np.cumsum(np.frombuffer(r["sizes"], dtype="<i8"))
+        at.write(ends.astype("<i8").tobytes())
+        end = int(ends[-1]) if len(ends) else end
+    for f in files:
+        f.close()
+        spark.sparkContext.addFile(f.path)
     release(held, chunks)
-    return Published(name, depths)
+    return Published(name, tuple(sorted((r["kind"], r["depth"]) for r in shapes)))
 
 
 class DigestArray:
