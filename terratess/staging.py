@@ -9,7 +9,6 @@ from __future__ import annotations
 import atexit
 import re
 import uuid
-from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -78,10 +77,9 @@ class SharedFile:
         self._out.close()
 
 
-def put(spark: SparkSession, name: str, content: bytes | Iterable[bytes]) -> str:
-    """Writes a file of bounded size, whole or in parts, to the shared folder; returns its full path."""
+def put(spark: SparkSession, name: str, content: bytes) -> str:
+    """Writes a file of bounded size to the shared folder; returns its full path."""
     out = SharedFile(spark, name)
-    for part in [content] if isinstance(content, bytes) else content:
-        out.write(part)
+    out.write(content)
     out.close()
     return out.path
