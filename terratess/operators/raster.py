@@ -36,15 +36,21 @@ def count_valid(cells: DataFrame) -> DataFrame:
     return cells.agg(F.count("v").alias("n_cells"))
 
 
-def extent_subset(cells: DataFrame, grid: Grid, extent: tuple[float, float, float, float]) -> DataFrame:
-    """Cells whose centres lie in (xmin, ymin, xmax, ymax); a filter that reaches the scan as a range of px and py."""
+def extent_window(grid: Grid, extent: tuple[float, float, float, float]) -> tuple[int, int, int, int]:
+    """The window (px0, py0, w, h) of cells whose centres lie in (xmin, ymin, xmax, ymax)."""
     xmin, ymin, xmax, ymax = extent
     low = lambda v, o, s: math.ceil((v - o) / s - 0.5)
     xs = sorted(((xmin, xmax)), key=lambda v: (v - grid.ulx) / grid.dx)
     ys = sorted(((ymin, ymax)), key=lambda v: (v - grid.uly) / grid.dy)
     px = (low(xs[0], grid.ulx, grid.dx), math.floor((xs[1] - grid.ulx) / grid.dx - 0.5))
     py = (low(ys[0], grid.uly, grid.dy), math.floor((ys[1] - grid.uly) / grid.dy - 0.5))
-    return cells.where(F.col("px").between(*px) & F.col("py").between(*py))
+    return px[0], py[0], max(px[1] - px[0] + 1, 0), max(py[1] - py[0] + 1, 0)
+
+
+def extent_subset(cells: DataFrame, grid: Grid, extent: tuple[float, float, float, float]) -> DataFrame:
+    """Cells whose centres lie in (xmin, ymin, xmax, ymax); a filter that reaches the scan as a range of px and py."""
+    px, py, w, h = extent_window(grid, extent)
+    return cells.where(F.col("px").between(px, px + w - 1) & F.col("py").between(py, py + h - 1))
 
 
 def clip_to_polygon(cells: DataFrame, grid: Grid, rings: DataFrame) -> DataFrame:

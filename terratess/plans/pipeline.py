@@ -38,9 +38,8 @@ class Result:
 def surface(spark: SparkSession, cfg: Config) -> tuple[DataFrame, Grid]:
     """The DEM's valid cells after cutting, projecting, filling and smoothing, staged."""
     grid = geotiff.read_grid(spark, cfg.dem_filename)
-    cells = geotiff.read_cells(spark, cfg.dem_filename).select("px", "py", "v")
-    if cfg.extent:
-        cells = raster.extent_subset(cells, grid, cfg.extent)
+    window = raster.extent_window(grid, cfg.extent) if cfg.extent else None
+    cells = geotiff.read_cells(spark, cfg.dem_filename, window).select("px", "py", "v")
     if cfg.clip_to_shp:
         rings = vector.exploded(shapefile.read_shapefile(spark, cfg.clip_to_shp)).withColumnRenamed("part", "ring")
         rings = vector.reproject(rings, shapefile.read_crs(spark, cfg.clip_to_shp), grid.crs)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terratess.functions import geometry, projections
 from terratess.functions.projections import Albers, Utm
 from terratess.model import Grid
-from terratess.operators import refine, spatial, topology, vector
+from terratess.operators import raster, refine, spatial, topology, vector
 from terratess.plans import config, pipeline
 from terratess.sources import geojson, geotiff, mesh_json, report, shapefile, synthetic, triangle_files
 
@@ -326,3 +326,12 @@ def test_windows_are_read_by_block(spark, tmp_path):
     assert values(part, "py", "px") == values(geotiff.read_window(whole, 5, 7, 20, 9).select("py", "px", "v"), "py", "px") and part.count() == 180
     t = geotiff.Tiff(lambda at, n, data=(tmp_path / "r.tif").read_bytes(): data[at : at + n])
     assert [y for _, y, _ in t.blocks((0, 7, 3, 2))] == [7, 8]
+
+
+def test_an_extent_reads_its_window_alone(spark, tmp_path):
+    grid = Grid(0.0, 10.0, 320.0, -10.0, 32, 32, "local")
+    geotiff.write_geotiff(str(tmp_path / "dem.tif"), synthetic.gauss(spark, 32, 32, 100.0), grid)
+    cfg = config.from_mapping({"dem_filename": str(tmp_path / "dem.tif"), "max_area": 1000.0, "max_tolerance": 5.0, "extent": (55.0, 105.0, 200.0, 240.0)})
+    cells, own = pipeline.surface(spark, cfg)
+    assert own == grid and sorted((r.px, r.py) for r in cells.collect()) == [(x, y) for x in range(5, 20) for y in range(8, 22)]
+    assert raster.extent_window(grid, (400.0, 0.0, 500.0, 10.0))[2] == 10 and raster.extent_subset(cells, grid, (400.0, 0.0, 500.0, 10.0)).count() == 0
