@@ -12,6 +12,7 @@ equal, so colliding digests do no harm.
 
 from __future__ import annotations
 
+import os
 import pkgutil
 import uuid
 from collections.abc import Iterable, Iterator
@@ -115,7 +116,7 @@ class DigestArray:
 
     def __init__(self, keys: str, at: str, text: str, depths: Iterable[tuple[str, int]] = ()):
         self.depths = list(depths)
-        mapped = lambda path, kind: np.memmap(path, dtype=kind, mode="r") if open(path, "rb").read(1) else np.zeros(0, dtype=kind)  # noqa: E731, SIM115
+        mapped = lambda path, kind: np.memmap(path, dtype=kind, mode="r") if os.path.getsize(path) else np.zeros(0, dtype=kind)
         self.keys, self.at, self.text = mapped(keys, "<i8"), mapped(at, "<i8"), mapped(text, np.uint8)
 
     def find(self, keys: list[str]) -> list[str | None]:
