@@ -36,8 +36,9 @@ WINDOW = 1024
 RUN = 1 << 17
 SEQUENCE_COST, DOCUMENT_CUT, SENTENCE_CUT, STEP = 16, 4, 64, 256
 END = 0
-SLOTS = 1 << 22
-POOL = 12_000_000
+#: Chunks and ids that a worker's cache holds: 32 MB.
+SLOTS = 1 << 20
+POOL = 4_000_000
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:

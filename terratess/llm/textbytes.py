@@ -8,13 +8,12 @@ longest single word, not by the longest text. Nulls count as empty texts.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 19
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -38,15 +37,17 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
-@lru_cache(maxsize=4)
+#: Powers of the base and of its inverse modulo 2**64, as many as a worker has needed so far.
+_POWERS = [np.ones(1, dtype=_U), np.ones(1, dtype=_U)]
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    out = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        p = np.full(n, base, dtype=_U)
-        p[0] = 1
-        out.append(np.cumprod(p))
-    return out[0], out[1]
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            p = np.full(1 << (n - 1).bit_length(), base, dtype=_U)
+            p[0] = 1
+            _POWERS[k] = np.cumprod(p)
+    return _POWERS[0], _POWERS[1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -58,8 +59,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of ``buf[starts[i]:ends[i]]``; equal bytes have equal hashes wherever they stand."""
-    size = 1 << max(20, int(len(buf)).bit_length())
-    p, inverse = _powers(size)
+    p, inverse = _powers(len(buf) + 1)
     total = np.empty(len(buf) + 1, dtype=_U)
     total[0] = 0
     np.cumsum((buf.astype(_U) + _U(1)) * p[: len(buf)], out=total[1:])
