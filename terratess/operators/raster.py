@@ -92,11 +92,21 @@ def _overlaps(cells: DataFrame, source: Grid, target: Grid) -> DataFrame:
 
 
 def resample(cells: DataFrame, source: Grid, target: Grid, method: str = "average") -> DataFrame:
-    """Cells on another grid: the mean by shared area, or for ``mode`` the value with the most shared area, the smallest of equals."""
+    """Cells on another grid: the mean by shared area, or for ``mode`` the value with the most shared area, the smallest of equals.
+
+    A sum of doubles may end in another last bit in another order. For ``mode`` areas are added as
+    whole numbers (2^59 to 2^60 for a whole cell), so that the order of rows decides nothing, and
+    sums no farther apart than other orders could bring sums of doubles are equals.
+    """
     parts = _overlaps(cells, source, target)
     if method == "mode":
-        by = parts.groupBy("px", "py", "v").agg(F.sum("w").alias("w"))
-        return by.groupBy("px", "py").agg(F.max(F.struct(F.col("w"), (-F.col("v")).alias("minus")))["minus"].alias("m")).select("px", "py", (-F.col("m")).alias("v"))
+        scale = 2.0 ** (60 - math.frexp(min(1.0, source.cell_area / target.cell_area))[1])
+        whole = F.rint(F.col("w") * scale).cast("long").cast("decimal(20,0)")
+        by = parts.groupBy("px", "py", "v").agg(F.sum(whole).cast("double").alias("w"), F.count("*").alias("n"))
+        most = by.groupBy("px", "py").agg(F.max(F.struct("w", "n")).alias("most"))
+        lost = (F.col("n") + F.col("most.n") - 2) * 2.0**-53
+        equals = by.join(most, ["px", "py"]).where(F.col("most.w") - F.col("w") <= F.col("most.w") * lost)
+        return equals.groupBy("px", "py").agg(F.min("v").alias("v"))
     if method not in ("average", "mean"):
         raise ValueError(f"unknown resampling {method!r}")
     return parts.groupBy("px", "py").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("v"))
